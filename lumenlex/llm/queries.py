@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlex.llm import byte_bpe, exact_dedup, language_id, packing, quality, secret_scan, sharding, token_files, topk_search
+from lumenlex.llm import byte_bpe, exact_dedup, language_id, near_dedup, packing, quality, secret_scan, sharding, token_files, topk_search
 from lumenlex.llm.held_out import held_out
 
 
@@ -32,6 +32,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(documents(spark, sf_dir)))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=2)
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -61,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_byte_bpe, op4_secret_scan, op6_topk_search, op7_sharding, op8_token_files, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_byte_bpe, op4_secret_scan, op5_near_dedup, op6_topk_search, op7_sharding, op8_token_files, op9_quality, op10_packing)}
 ORACLES = {
     "op1_exact_dedup": r"""
         WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
