@@ -145,3 +145,19 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), value.alias("text"), value.rlike(r"\p{L}").alias("letters"))
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+
+
+def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.1, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and scores ``min_score`` or more for some language. Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                for start in range(0, part.num_rows, ROWS):
+                    some = part.slice(start, ROWS)
+                    good = pc.fill_null(pc.match_substring_regex(some.column(text), r"\pL"), False)
+                    if model is not None and pc.any(good).as_py():
+                        good = pc.and_(good, pa.array(model.scores(some.column(text)).max(1) >= min_score))
+                    yield some.filter(good)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -163,7 +163,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text", k: int = SKETCH) -> DataFrame:
-    """A row for each document: key, n_shingles, component_id (smallest key reachable by links), kept (key = component_id).
+    """A row for each document: key, n_shingles, component_id (smallest key reachable by links), kept (key = component_id), set_id.
 
     Documents with equal non-empty sets are linked; so are those whose sets have
     a Jaccard index of at least 0.8.  A null or empty text, or one of white space
@@ -214,6 +214,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     classes = materialize(classes.select("set_id", "key", "root"), "classes")
     smallest = classes.groupBy("root").agg(F.min("key").alias("component_id"))
     of_set = materialize(classes.join(smallest, "root").select("set_id", "component_id"), "components")
-    out = rows.select("key", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    out = rows.select("key", "n_shingles", "set_id").join(of_set, "set_id", "left")  # set_id tells apart the texts of a repeated key
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), "set_id")
+
+
+def set_ids(text: Column, words: int) -> Column:
+    """set_id of each text, as in :func:`near_duplicates`."""
+
+    @F.pandas_udf("string")
+    def of(texts):  # noqa: ANN001, ANN202
+        return texts.map(lambda x: xxh3_128_hexdigest(shingles((x or "").encode(), words).tobytes()))
+
+    return of(text.cast("string"))

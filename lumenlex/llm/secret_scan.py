@@ -127,7 +127,8 @@ def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 def mask(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str = "text", by: str = "[SECRET]") -> DataFrame:
     """The documents, with each span of ``scanned`` replaced in the text; overlapping spans become one.
 
-    Only documents with spans are joined; all other rows and all other columns pass unchanged.
+    Only documents with spans are joined; all other rows and all other columns
+    pass unchanged, but for ``n_chars``, which follows the text if it is there.
     """
     spans = scanned.where(F.size("spans") > 0).select(F.col(key).alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
 
@@ -146,5 +147,6 @@ def mask(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str = "
             out.append("".join(parts) + value[at:])
         return type(texts)(out, dtype=object)
 
+    sizes = {"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     joined_docs = docs.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left")
-    return joined_docs.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("_spans")))).select(*docs.columns)
+    return joined_docs.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("_spans")))).withColumns(sizes).select(*docs.columns)
