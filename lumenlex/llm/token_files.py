@@ -89,19 +89,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = N
     spark = docs.sparkSession
     path = path or fresh_path(spark, "token-files")
     width = word_bpe.id_width(tokenizer, end_id)
-    encoded = word_bpe.encode(docs, tokenizer, end_id, key)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            where = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
-            flat = np.frombuffer(ids.buffers()[2], "<u4") if len(ids) else np.zeros(0, "<u4")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(where // 4 * np.dtype(width).itemsize)), pa.py_buffer(flat.astype(width))])], ["key", "ids"]
-            )
-
+    tokens = word_bpe.encode(docs, tokenizer, end_id, key, width=width).select(F.col(key).alias("key"), "ids")
     kind = docs.schema[key].dataType.simpleString()
-    tokens = encoded.select(F.col(key).alias("key"), "ids").mapInArrow(narrow, f"key {kind}, ids binary")
     tokens = materialize(tokens.withColumn("uid", F.monotonically_increasing_id()), "token-ids")
     order = id_ranks(tokens, width)
     rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)

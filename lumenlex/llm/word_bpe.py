@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from lumenlex.llm.chunks import LOWER, ChunkEncoder, slices, split_at_words_and_stops, to_lists
 
-JOINED = 200
+#: Plain words in a string for the library, and words with it at a time.
+JOINED, AT_ONCE = 200, 20_000
 
 
 @lru_cache(maxsize=2)
@@ -40,6 +41,10 @@ def chunk_encoder(path: str) -> ChunkEncoder:
         return [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(chunks: pa.Array) -> pa.ListArray:
+        # The library's results are large beside their ids, so few words are with it at once.
+        return pa.concat_arrays([encode_some(chunks.slice(i, AT_ONCE)) for i in range(0, len(chunks), AT_ONCE)])
+
+    def encode_some(chunks: pa.Array) -> pa.ListArray:
         words = [x.decode("utf-8", "replace").strip(" ") for x in chunks.to_pylist()]
         plain = np.fromiter((x.isalpha() and (x.isascii() or unicodedata.normalize("NFC", x).lower().isalpha()) for x in words), bool, len(words))
         at = np.flatnonzero(plain)
@@ -65,7 +70,7 @@ def chunk_encoder(path: str) -> ChunkEncoder:
         back[order] = np.arange(len(words))
         return ids.take(pa.array(back))
 
-    return ChunkEncoder(split_at_words_and_stops, encode, keep=1_000_000, fold=LOWER)
+    return ChunkEncoder(split_at_words_and_stops, encode, keep=500_000, fold=LOWER)
 
 
 def id_width(path: str, end_id: int) -> str:
@@ -81,8 +86,8 @@ def encode_batch(encoder: ChunkEncoder, text: pa.Array, end_id: int) -> tuple[np
     return np.insert(flat, where[1:], end_id), where + np.arange(len(where))
 
 
-def encode(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of every row.
+def encode(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", text: str = "text", width: str = "<u4") -> DataFrame:
+    """``key``, ``n_tokens`` and ``ids`` (bytes of numpy type ``width``) of every row.
 
     A null text counts as empty: only the end id. Narrow; other columns are dropped.
     """
@@ -92,8 +97,8 @@ def encode(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", tex
         for batch in batches:
             for part in slices(batch):
                 flat, where = encode_batch(encoder, part.column("text"), end_id)
-                raw = pa.py_buffer(np.ascontiguousarray(flat.astype("<u4", copy=False)))
-                ids = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * where).astype(np.int32)), raw])
+                raw = pa.py_buffer(np.ascontiguousarray(flat.astype(width, copy=False)))
+                ids = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((np.dtype(width).itemsize * where).astype(np.int32)), raw])
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(where)), ids], ["key", "n_tokens", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
