@@ -48,58 +48,106 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def completions(left: list[int], room: int, width: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to ``width`` of the ascending lengths, fullest first.
-
-    A filling is dominated by one that has at least its sum with no more pieces, or by a single piece of at least its sum.
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Bins that any packing needs: for each size k, pieces over capacity - k stand alone and those from k on must fill what is left."""
+    count = np.bincount(lengths, minlength=capacity + 1)
+    number = np.cumsum(count[::-1])[::-1]  # pieces of at least this length
+    total = np.cumsum((count * np.arange(capacity + 1))[::-1])[::-1]
+    k = np.arange(1, capacity // 2 + 1)
+    big = np.append(number, 0)[capacity - k + 1]
+    half = capacity // 2 + 1  # pieces over half a bin cannot meet
+    middle_number = number[half] - big
+    middle_room = middle_number * capacity - (total[half] - np.append(total, 0)[capacity - k + 1])
+    small = total[k] - total[half]
+    more = np.maximum(0, -(-(small - middle_room) // capacity))
+    return int(max((big + middle_number + more).max(initial=0), -(-sum(lengths) // capacity)))
+
+
+def completions(left: list[int], count: dict[int, int], room: int, width: int = 4, branch: int = 6) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room`` by up to ``width`` pieces of the ascending distinct lengths, fullest first.
+
+    A filling is dominated by one of no more pieces that has at least its sum.
     """
     found: list[tuple[int, ...]] = []
-    best: dict[int, int] = {}
+    best = [-1] * (width + 1)
 
     def extend(chosen: tuple[int, ...], end: int, room_left: int) -> None:
-        total = room - room_left
-        if chosen and all(best[k] < total for k in best if k <= len(chosen)):
-            best[len(chosen)] = total
+        total, n = room - room_left, len(chosen)
+        if n and total > max(best[: n + 1]):
+            best[n] = total
             found.append(chosen)
-        if len(chosen) == width or not room_left:
+        if n == width or not room_left:
             return
         at = bisect.bisect_right(left, room_left, 0, end)
-        for _ in range(8):  # the longest that fit; distinct ones only
-            if not at:
-                return
-            x = left[at - 1]
-            extend((*chosen, x), at - 1, room_left - x)
-            at = bisect.bisect_left(left, x, 0, at)
+        for i in range(at - 1, max(-1, at - 1 - branch), -1):
+            x = left[i]
+            extend((*chosen, x), i + (chosen.count(x) + 1 < count[x]), room_left - x)
 
     extend((), len(left), room)
-    return sorted(found, key=lambda f: (-sum(f), len(f))) or [()]
+    kept = [f for f in found if all(sum(g) < sum(f) or len(g) > len(f) or g is f for g in found)]
+    return sorted(kept, key=lambda f: (-sum(f), len(f))) or [()]
 
 
 def bin_completion(lengths: list[int], capacity: int, node_limit: int = 20_000) -> list[list[int]]:
     """As few bins as found within ``node_limit`` nodes; never more than best-fit decreasing."""
     incumbent = best_fit(lengths, capacity)
-    total = sum(lengths)
-    bound = -(-total // capacity)
+    total, bound = sum(lengths), lower_bound(lengths, capacity)
     if len(incumbent) == bound:
         return incumbent
-    stack = [(sorted(lengths), [], 0)]
-    nodes = 0
-    while stack and nodes < node_limit and len(incumbent) > bound:
+    count = Counter(lengths)
+    left = sorted(count)
+
+    def take(x: int, n: int) -> None:
+        """Removes pieces of a length, or puts them back if n is negative."""
+        if not count[x]:
+            bisect.insort(left, x)
+        count[x] -= n
+        if not count[x]:
+            left.pop(bisect.bisect_left(left, x))
+
+    bins: list[list[int]] = []
+    waste, nodes = 0, 0
+    open_: list[list[tuple[int, ...]]] = []  # for each bin, the fillings still to try, best last
+
+    def fillings() -> list[tuple[int, ...]]:
+        return completions(left, count, capacity - bins[-1][0])[::-1]
+
+    def start() -> None:
+        bins.append([left[-1]])
+        take(left[-1], 1)
+        open_.append(fillings())
+
+    start()
+    while open_ and nodes < node_limit:
+        if not open_[-1]:  # nothing left to try here: back to the bin before
+            open_.pop()
+            take(bins.pop()[0], -1)
+            if bins:
+                for x in bins[-1][1:]:
+                    take(x, -1)
+                waste -= capacity - sum(bins[-1])
+                del bins[-1][1:]
+            continue
         nodes += 1
-        left, bins, waste = stack.pop()
-        if not left:
-            if len(bins) < len(incumbent):
-                incumbent = bins
+        filling = open_[-1].pop()
+        lost = capacity - bins[-1][0] - sum(filling)
+        if waste + lost > (len(incumbent) - 1) * capacity - total:
+            continue  # too much waste for a better packing
+        for x in filling:
+            take(x, 1)
+        bins[-1].extend(filling)
+        waste += lost
+        if left:
+            start()
             continue
-        rest = left[:-1]
-        for filling in reversed(completions(rest, capacity - left[-1])):
-            lost = waste + capacity - left[-1] - sum(filling)
-            if lost > (len(incumbent) - 1) * capacity - total:
-                continue  # too much waste for a better packing
-            after = rest.copy()
-            for x in filling:
-                after.pop(bisect.bisect_left(after, x))
-            stack.append((after, [*bins, [left[-1], *filling]], lost))
+        if len(bins) < len(incumbent):
+            incumbent = [b.copy() for b in bins]
+            if len(incumbent) == bound:
+                break
+        for x in bins[-1][1:]:
+            take(x, -1)
+        waste -= lost
+        del bins[-1][1:]
     return incumbent
 
 
