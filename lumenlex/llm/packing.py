@@ -202,6 +202,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_size: int = 20_000, node
 
     Groups are dealt by row number, so rows that repeat one key spread as well. An empty table gives an empty one.
     """
+    pieces = pieces.drop("sequence_id", "offset", "_uid", "_group")
     rows = materialize(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     groups = max(1, round(rows.count() / group_size))
 

@@ -63,10 +63,12 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """All rows and columns of ``df`` with ``shard`` and ``slot`` (gapless from 0 inside a shard).
 
     Row counts of shards are at most one apart.  Nulls, ties and repeated rows
-    are rows like any other; an empty table gives an empty one.  The result is a
+    are rows like any other; an empty table gives an empty one; columns that
+    are named shard or slot are replaced.  The result is a
     function of the seed and of how the input is partitioned.
     """
     spark = df.sparkSession
+    df = df.drop("shard", "slot")
     rows = materialize(df.select(F.struct(*map(F.col, df.columns)).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("uid")), "rows")
     counts = rows.groupBy("part").count().orderBy("part").collect()  # one small row a partition
     matrix = communication_matrix([r["count"] for r in counts], shards, seed)
