@@ -7,12 +7,12 @@ of equal sets form a class and only classes go on.
 Candidates come from inverted lists of retained values, rarest values first:
 of two sets with a Jaccard index of at least the threshold, the sketches share
 so many values that their rarest ones, up to a prefix length, must meet.
-Lists are joined to a centre, not to each other: each round pairs every member
-of a list with its smallest one, drops pairs of unequal size, pairs already in
-one component, and pairs whose union sketch estimates too low an index; the
-rest are verified on their full sets, and components grow.  A round takes the
-centre out of its list, as all of its pairs are decided.  Lists whose members
-are in one component are done.  When the pairs left between components are few,
+Lists are joined to a few centres, not to each other: each round pairs every
+member of a list with them, drops pairs of unequal size, pairs already in one
+component, and pairs whose union sketch estimates too low an index; the rest
+are verified on their full sets, and components grow.  A round takes the
+centres out of their list, as all of their pairs are decided.  Lists whose
+members are in one component are done.  When the pairs left between components are few,
 all of them are taken at once, which makes the result whole at every size.
 
 Sets are held as 63-bit hashes of the shingles' bytes.
@@ -31,11 +31,12 @@ from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest
 from lumenlex.llm.chunks import slices
 from lumenlex.storage import materialize
 
-SKETCH = 64
+SKETCH = 128
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: All pairs left between components are taken once they are at most so many for each list entry.
-PAIRS_AN_ENTRY = 2
+PAIRS_AN_ENTRY = 8
+#: Rounds before all pairs are taken in any case.
 ROUNDS = 12
 
 
@@ -54,12 +55,13 @@ def needed_overlap(n: int, k: int) -> int:
     """Values that the sketches of a set of ``n`` and of any set similar to it share.
 
     If any partner is retained whole, this is the bound for whole sets.  Else
-    half of the sketch: at an index of 0.8, fewer have a probability of under
-    one in ten million at k = 64.
+    six standard deviations below the mean at an index of 0.8: fewer are shared
+    with a probability of about one in a billion.
     """
     if n * DENOMINATOR <= k * NUMERATOR:
         return -(-n * NUMERATOR // DENOMINATOR)
-    return min(n, k) // 2 + 1
+    share, size = NUMERATOR / DENOMINATOR, min(n, k)
+    return max(1, int(size * share - 6 * (size * share * (1 - share)) ** 0.5))
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, k: int) -> DataFrame:
@@ -99,10 +101,10 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     return materialize(held.where(room > 0).select("node", "n", F.explode(F.slice("held", F.lit(1), room)).alias("e")).select("e.value", "node", "n"), "lists")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set_id", F.col("key").alias("_key")), "node")
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(wanted, "_key")
+def full_texts(lists: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(node, text) of the nodes in any list: one pass over the documents serves all rounds."""
+    wanted = lists.select("node").distinct().join(nodes.select("node", "set_id", F.col("key").alias("_wanted")), "node")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(wanted, F.col("_key").eqNullSafe(F.col("_wanted")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where rows repeat a key with other texts, the node's own text only."""
@@ -111,7 +113,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
                 found = [xxh3_128_hexdigest(shingles((x.as_py() or "").encode(), words).tobytes()) for x in part.column("text")]
                 yield part.filter(pa.array([a == b for a, b in zip(found, part.column("set_id").to_pylist(), strict=True)], pa.bool_())).select(["node", "text"])
 
-    texts = materialize(texts.select("node", "set_id", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"]) if _repeats(docs, key) else texts.select("node", "text"), "texts")
+    if _repeats(docs, key):
+        texts = texts.select("node", "set_id", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"])
+    return materialize(texts.select("node", "text"), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[int, np.ndarray] = {}
@@ -175,6 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     nodes = full.groupBy("set_id").agg(F.min("uid").alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     lists = inverted_lists(nodes)
+    texts: DataFrame | None = None
     labels: DataFrame | None = None
     links: DataFrame | None = None
 
@@ -191,17 +200,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
         left = spread.agg(F.sum("size").alias("entries"), F.sum((F.col("size") * F.col("size") - F.col("same")) / 2).alias("pairs")).first()
         if not left.entries:
             break
-        lists = materialize(members.join(spread.select("value"), "value").select("value", "node", "n", "root"), "lists")
+        lists = materialize(members.join(spread.select("value", "size"), "value").select("value", "node", "n", "root", "size"), "lists")
+        if texts is None:
+            texts = full_texts(lists, nodes, docs, key, text, words)
         final = left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
         right = lists
         if not final:
-            right = materialize(lists.groupBy("value").agg(F.min(F.struct("node", "n", "root")).alias("c")).select("value", "c.*"), "centres")
+            # The smallest node of each salt: two centres, and the cube root of the list's size more.
+            salted = lists.groupBy("value", F.pmod(F.xxhash64("node"), (2 + F.cbrt("size")).cast("long")).alias("salt"))
+            right = materialize(salted.agg(F.min(F.struct("node", "n", "root")).alias("c")).select("value", "c.*"), "centres")
         right = right.select("value", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-        pairs = lists.join(right, "value").where(alike(F.col("n"), F.col("b_n")) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("b_root")))
-        pairs = materialize(pairs.select(F.col("node").alias("a"), "b").distinct(), "pairs")
+        pairs = lists.join(right, "value").where(alike(F.col("n"), F.col("b_n")) & (F.col("root") != F.col("b_root")) & (F.col("node") > F.col("b") if final else F.lit(True)))
+        pairs = materialize(pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "pairs")
         close = materialize(estimated(pairs, nodes, k), "close")
         if not close.isEmpty():
-            found = verified(close, nodes, docs, key, text, words)
+            found = verified(close, texts, words)
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 labels = components(links)
