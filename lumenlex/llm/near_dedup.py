@@ -4,16 +4,19 @@ A document's set is its distinct word shingles.  The sketch of a set is its
 ``SKETCH`` smallest hashes, so two sketches also sketch the union.  Documents
 of equal sets form a class and only classes go on.
 
-Candidates come from inverted lists of retained values, rarest values first:
-of two sets with a Jaccard index of at least the threshold, the sketches share
-so many values that their rarest ones, up to a prefix length, must meet.
-Lists are joined to a few centres, not to each other: each round pairs every
-member of a list with them, drops pairs of unequal size, pairs already in one
-component, and pairs whose union sketch estimates too low an index; the rest
-are verified on their full sets, and components grow.  A round takes the
-centres out of their list, as all of their pairs are decided.  Lists whose
-members are in one component are done.  When the pairs left between components are few,
-all of them are taken at once, which makes the result whole at every size.
+Candidates come from inverted lists of retained values.  Of two sets with a
+Jaccard index of at least 0.8, the few smallest values of each (``PREFIX``)
+share at least ``SHARED``.  A value that few sets hold is a list.  A longer
+list is dealt anew by pairs of such values: the values fall into one class
+fewer than are shared, so that two shared ones are in one class, and only pairs
+inside a class, of sets of similar size, make a list.
+
+Lists are joined to a few centres first.  Where components are left apart, random
+parts of each list meet in further rounds, so that large groups of loosely
+linked sets grow together.  At last the members outside a list's main component
+are joined to all of the list, which makes the result whole at every size.  The parities of 512 parts of the sketch pass over most pairs inside the
+join, the union's sketch estimates the index of the others, and full sets
+verify those that are left.
 
 Sets are held as 63-bit hashes of the shingles' bytes.
 """
@@ -31,13 +34,23 @@ from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest
 from lumenlex.llm.chunks import slices
 from lumenlex.storage import materialize
 
-SKETCH = 128
+SKETCH = 256
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: All pairs left between components are taken once they are at most so many for each list entry.
-PAIRS_AN_ENTRY = 8
-#: Rounds before all pairs are taken in any case.
-ROUNDS = 12
+#: Values of which two similar sets share at least SHARED: fewer, with a probability of at most one in a billion.
+PREFIX, SHARED = 22, 5
+#: Sets of one value from which its list is dealt anew by pairs of values.
+LONG = 64
+#: Centres of a list of more than 16.
+CENTRES = 3
+#: Members of a list that meet in a later round.
+MEET = 8
+#: All pairs left between components are tried once they are at most so many for each list entry.
+PAIRS_AN_ENTRY = 64
+#: Rounds before all pairs are tried in any case.
+ROUNDS = 2
+#: Words of 64 parities of a sketch.
+MASK = 8
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -64,46 +77,67 @@ def needed_overlap(n: int, k: int) -> int:
     return max(1, int(size * share - 6 * (size * share * (1 - share)) ** 0.5))
 
 
+def _masks(side: str = "") -> list[str]:
+    return [f"{side}m{i}" for i in range(MASK)]
+
+
 def signatures(docs: DataFrame, key: str, text: str, words: int, k: int) -> DataFrame:
-    """uid, key, n_shingles, set_id (equal for equal sets), spare (prefix length less sketch size) and sketch of every row."""
+    """uid, key, n_shingles, set_id (equal for equal sets), need (see :func:`needed_overlap`), sketch and its parities of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in part.column("text").cast(pa.binary())]
                 sizes = [len(s) for s in sets]
+                bits = np.zeros((len(sets), 64 * MASK), np.uint8)
+                for row, s in zip(bits, sets, strict=True):
+                    row[:] = np.bincount(s[:k] % (64 * MASK), minlength=64 * MASK) & 1
+                masks = np.packbits(bits, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
                         pa.array(sizes, pa.int64()),
                         pa.array([xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
-                        pa.array([1 - needed_overlap(n, k) for n in sizes], pa.int32()),
+                        pa.array([needed_overlap(n, k) for n in sizes], pa.int32()),
                         pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
+                        *(pa.array(np.ascontiguousarray(masks[:, i])) for i in range(MASK)),
                     ],
-                    ["key", "n_shingles", "set_id", "spare", "sketch"],
+                    ["key", "n_shingles", "set_id", "need", "sketch", *_masks()],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.mapInArrow(run, f"key {kind}, n_shingles long, set_id string, spare int, sketch array<long>")
+    rows = rows.mapInArrow(run, f"key {kind}, n_shingles long, set_id string, need int, sketch array<long>, " + ", ".join(f"{m} long" for m in _masks()))
     return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "signatures")
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """(value, node, n) of the retained values inside each node's prefix, rarest first, that at least two nodes hold.
+    """(list, node) of the lists that at least two nodes are in.
 
-    ``spare`` plus the sketch's size is the prefix length; values of one node only fill it first.
+    Sets of 6 values or more share ``SHARED`` of their first n / 5 + SHARED values, whatever the values' order, and of
+    their first ``PREFIX`` by chance; smaller ones that are similar share nearly all, and make lists of all pairs.
     """
-    entries = nodes.select("node", "n", "spare", F.explode("sketch").alias("value"))
+    prefix = F.least(F.lit(PREFIX), F.floor(F.col("n") / DENOMINATOR).cast("int") + SHARED)
+    entries = nodes.select("node", "n", F.explode(F.slice("sketch", F.lit(1), prefix)).alias("value"))
     shared = materialize(entries.groupBy("value").count().where("count > 1"), "shared")
-    held = entries.join(shared, "value").groupBy("node", "n", "spare").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("held"))
-    room = F.col("spare") + F.size("held")
-    return materialize(held.where(room > 0).select("node", "n", F.explode(F.slice("held", F.lit(1), room)).alias("e")).select("e.value", "node", "n"), "lists")
+    held = entries.join(shared, "value")
+    long = materialize(held.where(F.col("count") > LONG).groupBy("node", "n").agg(F.array_sort(F.collect_list("value")).alias("held")).where(F.size("held") > 1), "long")
+
+    def pairs(x: Column, i: Column) -> Column:
+        rest = F.filter(F.slice("held", i + 2, F.size("held")), lambda y: (F.col("n") < 6) | (x % (SHARED - 1) == y % (SHARED - 1)))
+        return F.transform(rest, lambda y: F.xxhash64(x, y, F.col("bucket")))
 
+    step = F.floor(F.ln("n") / F.ln(F.lit(DENOMINATOR / NUMERATOR)))  # of two similar sets, the steps are at most one apart
+    dealt = long.select("node", "n", "held", F.explode(F.array(step, step + 1)).alias("bucket"))
+    dealt = dealt.select("node", F.explode(F.flatten(F.transform("held", pairs))).alias("list"))
+    again = dealt.groupBy("list").count().where("count > 1").select("list")
+    short = held.where(F.col("count") <= LONG).select(F.col("value").alias("list"), "node")
+    return materialize(short.unionByName(dealt.join(again, "list").select("list", "node")), "lists")
 
-def full_texts(lists: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(node, text) of the nodes in any list: one pass over the documents serves all rounds."""
-    wanted = lists.select("node").distinct().join(nodes.select("node", "set_id", F.col("key").alias("_wanted")), "node")
+
+def full_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(node, text) of the nodes in any pair."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set_id", F.col("key").alias("_wanted")), "node")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(wanted, F.col("_key").eqNullSafe(F.col("_wanted")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +181,33 @@ def _repeats(docs: DataFrame, key: str) -> bool:
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Pairs that share enough of the union's sketch, as :func:`needed_overlap` of the smaller set has it."""
-    side = nodes.select("node", "spare", "sketch")
-    pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("spare").alias("a_spare"), F.col("sketch").alias("a_sketch")), "a")
-    pairs = pairs.join(side.select(F.col("node").alias("b"), F.col("spare").alias("b_spare"), F.col("sketch").alias("b_sketch")), "b")
-    union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
-    common = F.size(F.array_intersect(union, F.array_intersect("a_sketch", "b_sketch")))
-    return pairs.where(common >= F.least(1 - F.col("a_spare"), 1 - F.col("b_spare"))).select("a", "b")
+    """Pairs that share enough of the union's sketch, as :func:`needed_overlap` of the smaller set has it; ``sure`` where the sketches are the sets."""
+    side = nodes.select("node", "n", "need", "sketch")
+    pairs = pairs.join(side.select(*(F.col(c).alias(f"a_{c}") for c in side.columns)), F.col("a") == F.col("a_node"))
+    pairs = pairs.join(side.select(*(F.col(c).alias(f"b_{c}") for c in side.columns)), F.col("b") == F.col("b_node"))
+    both = F.array_intersect("a_sketch", "b_sketch")
+    common = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k), both))
+    whole = (F.col("a_n") <= k) & (F.col("b_n") <= k)
+    exact = F.size(both) * DENOMINATOR >= NUMERATOR * (F.col("a_n") + F.col("b_n") - F.size(both))
+    return pairs.where(F.when(whole, exact).otherwise(common >= F.least("a_need", "b_need"))).select("a", "b", whole.alias("sure"))
+
+
+def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
+    """Distinct pairs (a > b) of the asked (list, node) and members of the same list, in different components, of similar sizes and parities."""
+    near = members.select("list", "node", "root").join(figures, "node")
+    far = asked.select("list", "node").join(figures, "node")
+    far = far.withColumn("root", F.col("node")) if labels is None else far.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    far = far.select("list", *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "need", *_masks())))
+    apart = F.lit(0)
+    for x, y in zip(_masks(), _masks("b_"), strict=True):
+        apart = apart + F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    # Parities that differ are at most the values that differ.
+    both = F.least(F.col("n"), F.lit(k)) + F.least(F.col("b_n"), F.lit(k))
+    whole = (F.col("n") <= k) & (F.col("b_n") <= k)
+    most = F.when(whole, both * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR)).otherwise(both - 2 * F.least("need", "b_need"))
+    alike = (F.col("n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("n") * NUMERATOR)
+    pairs = near.join(far, (near["list"] == far["list"]) & (F.col("root") != F.col("b_root")) & alike & (apart <= most))
+    return pairs.select(F.greatest("node", "b_node").alias("a"), F.least("node", "b_node").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -180,47 +234,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     """
     rows = signatures(docs, key, text, words, k)
     full = rows.where("n_shingles > 0")
-    nodes = full.groupBy("set_id").agg(F.min("uid").alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch"))
+    first = [F.first(c).alias(c) for c in ("need", "sketch", *_masks())]
+    nodes = full.groupBy("set_id").agg(F.min("uid").alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), *first)
     nodes = materialize(nodes, "nodes")
     lists = inverted_lists(nodes)
-    texts: DataFrame | None = None
     labels: DataFrame | None = None
     links: DataFrame | None = None
-
-    def alike(m: Column, n: Column) -> Column:
-        return (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR)
+    figures = nodes.select("node", "n", "need", *_masks())
 
     for turn in range(ROUNDS + 1):
-        if labels is None:
-            members = lists.withColumn("root", F.col("node"))
-        else:
-            members = lists.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = members.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("roots"))
-        spread = materialize(spread.where("roots > 1"), "spread")
-        left = spread.agg(F.sum("size").alias("entries"), F.sum((F.col("size") * F.col("size") - F.col("same")) / 2).alias("pairs")).first()
+        members = lists.withColumn("root", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        by_root = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c"))
+        of_list = by_root.groupBy("list").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("main"))
+        of_list = materialize(of_list.where("roots > 1").select("list", "size", F.col("main.c").alias("c"), F.col("main.root").alias("main")), "open")
+        left = of_list.agg(F.sum("size").alias("entries"), F.sum((F.col("size") - F.col("c")) * F.col("size")).alias("pairs")).first()
         if not left.entries:
             break
-        lists = materialize(members.join(spread.select("value", "size"), "value").select("value", "node", "n", "root", "size"), "lists")
-        if texts is None:
-            texts = full_texts(lists, nodes, docs, key, text, words)
+        members = materialize(members.join(of_list.select("list", "size", "main"), "list"), "members")
+        lists = members.select("list", "node")
         final = left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
-        right = lists
-        if not final:
-            # The smallest node of each salt: two centres, and the cube root of the list's size more.
-            salted = lists.groupBy("value", F.pmod(F.xxhash64("node"), (2 + F.cbrt("size")).cast("long")).alias("salt"))
-            right = materialize(salted.agg(F.min(F.struct("node", "n", "root")).alias("c")).select("value", "c.*"), "centres")
-        right = right.select("value", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-        pairs = lists.join(right, "value").where(alike(F.col("n"), F.col("b_n")) & (F.col("root") != F.col("b_root")) & (F.col("node") > F.col("b") if final else F.lit(True)))
-        pairs = materialize(pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "pairs")
+        asked = members.where("root <> main").select("list", "node", "size")
+        if not turn and not final:
+            # The smallest node of each salt.
+            salt = F.when(F.col("size") > 16, F.pmod(F.xxhash64("node"), F.lit(CENTRES))).otherwise(0).alias("salt")
+            asked = asked.groupBy("list", "size", salt).agg(F.min("node").alias("node"))
+        elif not final:
+            part = F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.ceil(F.col("size") / MEET))
+            asked, members = (x.withColumn("list", F.xxhash64("list", part)) for x in (asked, members))
+        pairs = materialize(_close(members, asked, figures, labels, k), "pairs")
         close = materialize(estimated(pairs, nodes, k), "close")
-        if not close.isEmpty():
-            found = verified(close, texts, words)
-            if not found.isEmpty():
-                links = found if links is None else links.union(found)
-                labels = components(links)
+        found = close.where("sure").select("a", "b")
+        unsure = close.where("NOT sure").select("a", "b")
+        if not unsure.isEmpty():
+            found = found.unionByName(verified(unsure, full_texts(unsure, nodes, docs, key, text, words), words))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
         if final:
             break
-        lists = lists.join(right.select("value", F.col("b").alias("node"), F.lit(True).alias("centre")), ["value", "node"], "left").where("centre IS NULL").select("value", "node", "n")
 
     classes = nodes.select("set_id", "key", "node")
     classes = classes.withColumn("root", F.col("node")) if labels is None else classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
