@@ -14,9 +14,10 @@ inside a class, of sets of similar size, make a list.
 Lists are joined to a few centres first.  Where components are left apart, random
 parts of each list meet in further rounds, so that large groups of loosely
 linked sets grow together.  At last the members outside a list's main component
-are joined to all of the list, which makes the result whole at every size.  The parities of 512 parts of the sketch pass over most pairs inside the
-join, the union's sketch estimates the index of the others, and full sets
-verify those that are left.
+are joined to all of the list, which makes the result whole at every size.
+Parities of parts of the sketch pass over most pairs inside the join, parities
+of parts of the whole set over most others; then the union's sketch estimates
+the index, and full sets verify what is left.
 
 Sets are held as 63-bit hashes of the shingles' bytes.
 """
@@ -51,6 +52,10 @@ PAIRS_AN_ENTRY = 64
 ROUNDS = 2
 #: Words of 64 parities of a sketch.
 MASK = 8
+#: Words of parities of the whole set.
+SET_MASK = 32
+#: Nodes up to which their list is broadcast to the table that their sketches or texts are in; a few MB.
+FEW = 200_000
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -81,18 +86,34 @@ def _masks(side: str = "") -> list[str]:
     return [f"{side}m{i}" for i in range(MASK)]
 
 
+def parities(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """64 * words bits for each set: whether an odd number of its values falls in each part."""
+    bits = np.zeros((len(sets), 64 * words), np.uint8)
+    for row, s in zip(bits, sets, strict=True):
+        row[:] = np.bincount(s % (64 * words), minlength=64 * words) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if they are few."""
+    rows = materialize(rows, "few")
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def wanted(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def signatures(docs: DataFrame, key: str, text: str, words: int, k: int) -> DataFrame:
-    """uid, key, n_shingles, set_id (equal for equal sets), need (see :func:`needed_overlap`), sketch and its parities of every row."""
+    """uid, key, n_shingles, set_id (equal for equal sets), need (see :func:`needed_overlap`), sketch, parities of the set, and of the sketch, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in part.column("text").cast(pa.binary())]
                 sizes = [len(s) for s in sets]
-                bits = np.zeros((len(sets), 64 * MASK), np.uint8)
-                for row, s in zip(bits, sets, strict=True):
-                    row[:] = np.bincount(s[:k] % (64 * MASK), minlength=64 * MASK) & 1
-                masks = np.packbits(bits, axis=1).view(np.int64)
+                masks = parities([s[:k] for s in sets], MASK)
+                parity = parities(sets, SET_MASK)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
@@ -100,14 +121,15 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, k: int) -> Data
                         pa.array([xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
                         pa.array([needed_overlap(n, k) for n in sizes], pa.int32()),
                         pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
+                        pa.FixedSizeListArray.from_arrays(pa.array(parity.ravel()), SET_MASK).cast(pa.list_(pa.int64())),
                         *(pa.array(np.ascontiguousarray(masks[:, i])) for i in range(MASK)),
                     ],
-                    ["key", "n_shingles", "set_id", "need", "sketch", *_masks()],
+                    ["key", "n_shingles", "set_id", "need", "sketch", "parity", *_masks()],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.mapInArrow(run, f"key {kind}, n_shingles long, set_id string, need int, sketch array<long>, " + ", ".join(f"{m} long" for m in _masks()))
+    rows = rows.mapInArrow(run, f"key {kind}, n_shingles long, set_id string, need int, sketch array<long>, parity array<long>, " + ", ".join(f"{m} long" for m in _masks()))
     return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "signatures")
 
 
@@ -118,7 +140,7 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     their first ``PREFIX`` by chance; smaller ones that are similar share nearly all, and make lists of all pairs.
     """
     prefix = F.least(F.lit(PREFIX), F.floor(F.col("n") / DENOMINATOR).cast("int") + SHARED)
-    entries = nodes.select("node", "n", F.explode(F.slice("sketch", F.lit(1), prefix)).alias("value"))
+    entries = nodes.select("node", "n", F.explode(F.slice("head", F.lit(1), prefix)).alias("value"))
     shared = materialize(entries.groupBy("value").count().where("count > 1"), "shared")
     held = entries.join(shared, "value")
     long = materialize(held.where(F.col("count") > LONG).groupBy("node", "n").agg(F.array_sort(F.collect_list("value")).alias("held")).where(F.size("held") > 1), "long")
@@ -137,8 +159,9 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
 
 def full_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(node, text) of the nodes in any pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set_id", F.col("key").alias("_wanted")), "node")
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(wanted, F.col("_key").eqNullSafe(F.col("_wanted")))
+    repeats = _repeats(docs, key)
+    of = few(wanted(pairs).join(nodes.select("node", F.col("key").alias("_wanted"), *["set_id"] * repeats), "node"))
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(of, F.col("_key").eqNullSafe(F.col("_wanted")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where rows repeat a key with other texts, the node's own text only."""
@@ -147,7 +170,7 @@ def full_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, te
                 found = [xxh3_128_hexdigest(shingles((x.as_py() or "").encode(), words).tobytes()) for x in part.column("text")]
                 yield part.filter(pa.array([a == b for a, b in zip(found, part.column("set_id").to_pylist(), strict=True)], pa.bool_())).select(["node", "text"])
 
-    if _repeats(docs, key):
+    if repeats:
         texts = texts.select("node", "set_id", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"])
     return materialize(texts.select("node", "text"), "texts")
 
@@ -180,11 +203,20 @@ def _repeats(docs: DataFrame, key: str) -> bool:
     return not docs.groupBy(key).count().where("count > 1").isEmpty()
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose sets' parities differ in no more parts than similar sets' values can: a ninth of both sizes."""
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity")), x)
+    apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return pairs.where(apart * (NUMERATOR + DENOMINATOR) <= (F.col("a_n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR)).select("a", "b")
+
+
+def estimated(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Pairs that share enough of the union's sketch, as :func:`needed_overlap` of the smaller set has it; ``sure`` where the sketches are the sets."""
-    side = nodes.select("node", "n", "need", "sketch")
-    pairs = pairs.join(side.select(*(F.col(c).alias(f"a_{c}") for c in side.columns)), F.col("a") == F.col("a_node"))
-    pairs = pairs.join(side.select(*(F.col(c).alias(f"b_{c}") for c in side.columns)), F.col("b") == F.col("b_node"))
+    side = rows.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "need", "sketch")
+    side = materialize(side.join(few(wanted(pairs)), "node"), "sketches")
+    for x in "ab":
+        pairs = pairs.join(side.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "need", "sketch"))), x)
     both = F.array_intersect("a_sketch", "b_sketch")
     common = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k), both))
     whole = (F.col("a_n") <= k) & (F.col("b_n") <= k)
@@ -192,11 +224,10 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return pairs.where(F.when(whole, exact).otherwise(common >= F.least("a_need", "b_need"))).select("a", "b", whole.alias("sure"))
 
 
-def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
+def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, k: int) -> DataFrame:
     """Distinct pairs (a > b) of the asked (list, node) and members of the same list, in different components, of similar sizes and parities."""
     near = members.select("list", "node", "root").join(figures, "node")
-    far = asked.select("list", "node").join(figures, "node")
-    far = far.withColumn("root", F.col("node")) if labels is None else far.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    far = asked.select("list", "node", "root").join(figures, "node")
     far = far.select("list", *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "need", *_masks())))
     apart = F.lit(0)
     for x, y in zip(_masks(), _masks("b_"), strict=True):
@@ -233,17 +264,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     kept, unless the rest of its component has none either.
     """
     rows = signatures(docs, key, text, words, k)
-    full = rows.where("n_shingles > 0")
-    first = [F.first(c).alias(c) for c in ("need", "sketch", *_masks())]
-    nodes = full.groupBy("set_id").agg(F.min("uid").alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), *first)
+    full = rows.where("n_shingles > 0").withColumn("sketch", F.slice("sketch", 1, PREFIX))
+    first = [F.first(c).alias(c) for c in ("need", "parity", *_masks())]
+    nodes = full.groupBy("set_id").agg(F.min("uid").alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("head"), *first)
     nodes = materialize(nodes, "nodes")
     lists = inverted_lists(nodes)
-    labels: DataFrame | None = None
     links: DataFrame | None = None
     figures = nodes.select("node", "n", "need", *_masks())
+    placed = nodes.select("node", F.col("node").alias("root"))
 
     for turn in range(ROUNDS + 1):
-        members = lists.withColumn("root", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = lists.join(placed, "node")
         by_root = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c"))
         of_list = by_root.groupBy("list").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("main"))
         of_list = materialize(of_list.where("roots > 1").select("list", "size", F.col("main.c").alias("c"), F.col("main.root").alias("main")), "open")
@@ -252,17 +283,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
             break
         members = materialize(members.join(of_list.select("list", "size", "main"), "list"), "members")
         lists = members.select("list", "node")
-        final = left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
-        asked = members.where("root <> main").select("list", "node", "size")
+        final = turn and left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
+        asked = members.where("root <> main").select("list", "node", "root", "size")
         if not turn and not final:
             # The smallest node of each salt.
             salt = F.when(F.col("size") > 16, F.pmod(F.xxhash64("node"), F.lit(CENTRES))).otherwise(0).alias("salt")
-            asked = asked.groupBy("list", "size", salt).agg(F.min("node").alias("node"))
+            asked = asked.groupBy("list", salt).agg(F.min("node").alias("node")).withColumn("root", F.col("node"))
         elif not final:
             part = F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.ceil(F.col("size") / MEET))
             asked, members = (x.withColumn("list", F.xxhash64("list", part)) for x in (asked, members))
-        pairs = materialize(_close(members, asked, figures, labels, k), "pairs")
-        close = materialize(estimated(pairs, nodes, k), "close")
+        pairs = materialize(_close(members, asked, figures, k), "pairs")
+        pairs = materialize(bounded(pairs, nodes), "bounded")
+        close = materialize(estimated(pairs, rows, k), "close")
         found = close.where("sure").select("a", "b")
         unsure = close.where("NOT sure").select("a", "b")
         if not unsure.isEmpty():
@@ -270,12 +302,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
+            placed = materialize(placed.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
         if final:
             break
 
-    classes = nodes.select("set_id", "key", "node")
-    classes = classes.withColumn("root", F.col("node")) if labels is None else classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = materialize(classes.select("set_id", "key", "root"), "classes")
+    classes = materialize(nodes.select("set_id", "key", "node").join(placed, "node").select("set_id", "key", "root"), "classes")
     smallest = classes.groupBy("root").agg(F.min("key").alias("component_id"))
     of_set = materialize(classes.join(smallest, "root").select("set_id", "component_id"), "components")
     out = rows.select("key", "n_shingles", "set_id").join(of_set, "set_id", "left")  # set_id tells apart the texts of a repeated key
