@@ -25,6 +25,7 @@ Sets are held as 63-bit hashes of the shingles' bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Values of which two similar sets share at least SHARED: fewer, with a probability of at most one in a billion.
 PREFIX, SHARED = 22, 5
 #: Sets of one value from which its list is dealt anew by pairs of values.
-LONG = 64
+LONG = 128
 #: Centres of a list of more than 16.
 CENTRES = 3
 #: Members of a list that meet in a later round.
@@ -50,9 +51,9 @@ MEET = 8
 PAIRS_AN_ENTRY = 64
 #: Rounds before all pairs are tried in any case.
 ROUNDS = 2
-#: Words of 64 parities of a sketch.
+#: Words of 64 parities of a sketch, and of the whole set, that go along in the lists.
 MASK = 8
-#: Words of parities of the whole set.
+#: Words of 64 parities of the whole set that pairs are held against.
 SET_MASK = 32
 #: Nodes up to which their list is broadcast to the table that their sketches or texts are in; a few MB.
 FEW = 200_000
@@ -82,8 +83,9 @@ def needed_overlap(n: int, k: int) -> int:
     return max(1, int(size * share - 6 * (size * share * (1 - share)) ** 0.5))
 
 
-def _masks(side: str = "") -> list[str]:
-    return [f"{side}m{i}" for i in range(MASK)]
+def _masks(side: str = "", of: str = "ms") -> list[str]:
+    """Columns of parities: of the sketch (m) and of the whole set (s)."""
+    return [f"{side}{x}{i}" for x in of for i in range(MASK)]
 
 
 def parities(sets: list[np.ndarray], words: int) -> np.ndarray:
@@ -112,7 +114,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, k: int) -> Data
             for part in slices(batch):
                 sets = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in part.column("text").cast(pa.binary())]
                 sizes = [len(s) for s in sets]
-                masks = parities([s[:k] for s in sets], MASK)
+                masks = np.hstack([parities([s[:k] for s in sets], MASK), parities(sets, MASK)])
                 parity = parities(sets, SET_MASK)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -122,7 +124,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, k: int) -> Data
                         pa.array([needed_overlap(n, k) for n in sizes], pa.int32()),
                         pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
                         pa.FixedSizeListArray.from_arrays(pa.array(parity.ravel()), SET_MASK).cast(pa.list_(pa.int64())),
-                        *(pa.array(np.ascontiguousarray(masks[:, i])) for i in range(MASK)),
+                        *(pa.array(np.ascontiguousarray(masks[:, i])) for i in range(2 * MASK)),
                     ],
                     ["key", "n_shingles", "set_id", "need", "sketch", "parity", *_masks()],
                 )
@@ -229,15 +231,15 @@ def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, k: int) ->
     near = members.select("list", "node", "root").join(figures, "node")
     far = asked.select("list", "node", "root").join(figures, "node")
     far = far.select("list", *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "need", *_masks())))
-    apart = F.lit(0)
-    for x, y in zip(_masks(), _masks("b_"), strict=True):
-        apart = apart + F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+
+    def apart(of: str) -> Column:
+        return reduce(lambda x, y: x + y, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_masks("", of), _masks("b_", of), strict=True)))
+
     # Parities that differ are at most the values that differ.
     both = F.least(F.col("n"), F.lit(k)) + F.least(F.col("b_n"), F.lit(k))
-    whole = (F.col("n") <= k) & (F.col("b_n") <= k)
-    most = F.when(whole, both * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR)).otherwise(both - 2 * F.least("need", "b_need"))
+    close = (apart("m") <= both - 2 * F.least("need", "b_need")) & (apart("s") * (NUMERATOR + DENOMINATOR) <= (F.col("n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR))
     alike = (F.col("n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("n") * NUMERATOR)
-    pairs = near.join(far, (near["list"] == far["list"]) & (F.col("root") != F.col("b_root")) & alike & (apart <= most))
+    pairs = near.join(far, (near["list"] == far["list"]) & (F.col("root") != F.col("b_root")) & alike & close)
     return pairs.select(F.greatest("node", "b_node").alias("a"), F.least("node", "b_node").alias("b")).distinct()
 
 
