@@ -136,7 +136,10 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, k: int) -> Data
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """(list, node) of the lists that at least two nodes are in.
+    """(list, node, lower) of the lists that at least two nodes are in.
+
+    A list by pairs of values is of one step of sizes, and has the sets of the step below as ``lower`` ones: two of
+    these meet in the list of their own step.
 
     Sets of 6 values or more share ``SHARED`` of their first n / 5 + SHARED values, whatever the values' order, and of
     their first ``PREFIX`` by chance; smaller ones that are similar share nearly all, and make lists of all pairs.
@@ -152,11 +155,11 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
         return F.transform(rest, lambda y: F.xxhash64(x, y, F.col("bucket")))
 
     step = F.floor(F.ln("n") / F.ln(F.lit(DENOMINATOR / NUMERATOR)))  # of two similar sets, the steps are at most one apart
-    dealt = long.select("node", "n", "held", F.explode(F.array(step, step + 1)).alias("bucket"))
-    dealt = dealt.select("node", F.explode(F.flatten(F.transform("held", pairs))).alias("list"))
-    again = dealt.groupBy("list").count().where("count > 1").select("list")
-    short = held.where(F.col("count") <= LONG).select(F.col("value").alias("list"), "node")
-    return materialize(short.unionByName(dealt.join(again, "list").select("list", "node")), "lists")
+    dealt = long.select("node", "n", "held", F.posexplode(F.array(step, step + 1)).alias("lower", "bucket"))
+    dealt = dealt.select("node", "lower", F.explode(F.flatten(F.transform("held", pairs))).alias("list"))
+    again = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("count"), F.min("lower").alias("least")).where("count > 1 AND least = 0").select("list")
+    short = held.where(F.col("count") <= LONG).select(F.col("value").alias("list"), "node", F.lit(0).alias("lower"))
+    return materialize(short.unionByName(dealt.join(again, "list").select("list", "node", "lower")), "lists")
 
 
 def full_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -228,9 +231,9 @@ def estimated(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, k: int) -> DataFrame:
     """Distinct pairs (a > b) of the asked (list, node) and members of the same list, in different components, of similar sizes and parities."""
-    near = members.select("list", "node", "root").join(figures, "node")
-    far = asked.select("list", "node", "root").join(figures, "node")
-    far = far.select("list", *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "need", *_masks())))
+    near = members.select("list", "node", "lower", "root").join(figures, "node")
+    far = asked.select("list", "node", "lower", "root").join(figures, "node")
+    far = far.select("list", *(F.col(c).alias(f"b_{c}") for c in ("node", "lower", "root", "n", "need", *_masks())))
 
     def apart(of: str) -> Column:
         return reduce(lambda x, y: x + y, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_masks("", of), _masks("b_", of), strict=True)))
@@ -239,7 +242,7 @@ def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, k: int) ->
     both = F.least(F.col("n"), F.lit(k)) + F.least(F.col("b_n"), F.lit(k))
     close = (apart("m") <= both - 2 * F.least("need", "b_need")) & (apart("s") * (NUMERATOR + DENOMINATOR) <= (F.col("n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR))
     alike = (F.col("n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("n") * NUMERATOR)
-    pairs = near.join(far, (near["list"] == far["list"]) & (F.col("root") != F.col("b_root")) & alike & close)
+    pairs = near.join(far, (near["list"] == far["list"]) & (F.col("root") != F.col("b_root")) & (F.col("lower") + F.col("b_lower") < 2) & alike & close)
     return pairs.select(F.greatest("node", "b_node").alias("a"), F.least("node", "b_node").alias("b")).distinct()
 
 
@@ -284,13 +287,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
         if not left.entries:
             break
         members = materialize(members.join(of_list.select("list", "size", "main"), "list"), "members")
-        lists = members.select("list", "node")
+        lists = members.select("list", "node", "lower")
         final = turn and left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
-        asked = members.where("root <> main").select("list", "node", "root", "size")
+        asked = members.where("root <> main").select("list", "node", "root", "lower", "size")
         if not turn and not final:
             # The smallest node of each salt.
             salt = F.when(F.col("size") > 16, F.pmod(F.xxhash64("node"), F.lit(CENTRES))).otherwise(0).alias("salt")
-            asked = asked.groupBy("list", salt).agg(F.min("node").alias("node")).withColumn("root", F.col("node"))
+            asked = asked.where("lower = 0").groupBy("list", salt).agg(F.min("node").alias("node"), F.lit(0).alias("lower")).withColumn("root", F.col("node"))
         elif not final:
             part = F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.ceil(F.col("size") / MEET))
             asked, members = (x.withColumn("list", F.xxhash64("list", part)) for x in (asked, members))
