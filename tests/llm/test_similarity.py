@@ -66,6 +66,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("words", "k", "an_entry"), [(2, 128, 2), (2, 128, 0), (5, 128, 2), (5, 32, 0)])
 def test_near_duplicates(spark, monkeypatch, words, k, an_entry):
     monkeypatch.setattr(near_dedup, "PAIRS_AN_ENTRY", an_entry)
+    monkeypatch.setattr(near_dedup, "LONG", 1)  # every list is dealt anew by pairs of values
     rows = corpus(words + k)
     docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, uid int, node int, root int").repartition(3)
     out = near_dedup.near_duplicates(docs, words, k=k).collect()
