@@ -71,7 +71,9 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """A row for each document: key, base and spans (arrays of kind, start, end, hash), n_live, n_example.
+    """A row for each document: key, text_sha256, base and spans (arrays of kind, start, end, hash), n_live, n_example.
+
+    ``text_sha256`` tells rows of one key apart; it is null for texts without spans and candidates.
 
     The owner of a repository is the part of its name before the first ``/``.
     A null or empty text has no spans; a null repository counts as one of its own.
@@ -89,16 +91,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: s
                 hit = pc.fill_null(pc.match_substring_regex(texts, ANY), False).to_pylist()
                 base: list[list[dict]] = []
                 more: list[list[dict]] = []
+                sums: list[str | None] = []
                 for i, h in enumerate(hit):
                     value = texts[i].as_py() if h else ""
                     spans = base_spans(value) if h else []
                     base.append(rows(spans))
                     more.append(rows(candidates(value, spans)) if h else [])
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("repository"), pa.array(base, kind), pa.array(more, kind)], ["key", "repository", "base", "more"])
+                    sums.append(hashlib.sha256(value.encode()).hexdigest() if base[-1] or more[-1] else None)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("repository"), pa.array(sums, pa.string()), pa.array(base, kind), pa.array(more, kind)], ["key", "repository", "text_sha256", "base", "more"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.col(text).cast("string").alias("text"))
-    found = rows.mapInArrow(run, f"key {kind}, repository string, base array<{SPAN}>, more array<{SPAN}>")
+    found = rows.mapInArrow(run, f"key {kind}, repository string, text_sha256 string, base array<{SPAN}>, more array<{SPAN}>")
     found = materialize(found.withColumn("uid", F.monotonically_increasing_id()), "secrets")
     spans = materialize(found.select("uid", "repository", F.inline(F.concat("base", "more"))), "spans")
     owners = spans.select("hash", "repository", F.substring_index("repository", "/", 1).alias("owner")).distinct()
@@ -112,7 +116,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: s
     out = found.join(own, "uid", "left")
     all_spans = F.coalesce(F.transform("all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hash"].alias("hash"))), F.array().cast(f"array<{SPAN}>"))
     zero = F.lit(0).cast("long")
-    return out.select(F.col("key").alias(key), "base", all_spans.alias("spans"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"))
+    return out.select(F.col("key").alias(key), "text_sha256", "base", all_spans.alias("spans"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"))
 
 
 def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -127,10 +131,12 @@ def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 def mask(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str = "text", by: str = "[SECRET]") -> DataFrame:
     """The documents, with each span of ``scanned`` replaced in the text; overlapping spans become one.
 
-    Only documents with spans are joined; all other rows and all other columns
-    pass unchanged, but for ``n_chars``, which follows the text if it is there.
+    Rows that repeat a key, null keys among them, get the spans of their own
+    text: the join is by key and the hash of the text.  Only documents with
+    spans are joined; all other rows and all other columns pass unchanged, but
+    for ``n_chars``, which follows the text if it is there.
     """
-    spans = scanned.where(F.size("spans") > 0).select(F.col(key).alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    spans = scanned.where(F.size("spans") > 0).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha256"), F.col("spans").alias("_spans")).dropDuplicates(["_key", "_sha256"])
 
     @F.pandas_udf("string")
     def replaced(texts, spans):  # noqa: ANN001, ANN202
@@ -148,5 +154,5 @@ def mask(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str = "
         return type(texts)(out, dtype=object)
 
     sizes = {"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    joined_docs = docs.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left")
+    joined_docs = docs.join(spans, F.col(key).eqNullSafe(F.col("_key")) & (F.sha2(F.col(text).cast("string"), 256) == F.col("_sha256")), "left")
     return joined_docs.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("_spans")))).withColumns(sizes).select(*docs.columns)
