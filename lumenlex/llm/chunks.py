@@ -25,6 +25,9 @@ _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[[9, 10, 11, 12, 13]] = 32
+#: ASCII white space to blanks alone.
+BLANK = np.arange(256, dtype=np.uint8)
+BLANK[[9, 10, 11, 12, 13]] = 32
 _PUNCT = np.zeros(256, bool)
 _PUNCT[33:127] = True
 _PUNCT &= ~_ALNUM
@@ -80,6 +83,11 @@ def split_at_words_and_stops(data: np.ndarray) -> np.ndarray:
     return np.concatenate((_runs(space)[0], stops))
 
 
+def split_at_ascii_words(data: np.ndarray) -> np.ndarray:
+    """Starts of chunks ``ASCII white space* other+``."""
+    return _runs(_SPACE[data])[0]
+
+
 class ChunkEncoder:
     """``encode(distinct chunks) -> lists of ids``, remembered for up to ``keep`` chunks of a worker.
 

@@ -171,14 +171,15 @@ def place(lengths: np.ndarray, capacity: int, node_limit: int) -> tuple[np.ndarr
     return where, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", special_tokens: bool = False) -> DataFrame:
     """A row for each piece: key, piece, start, length and ids (little-endian unsigned 32-bit integers).
 
     Only documents of over ``capacity`` ids (their end id included) are cut. A null or empty text is one piece, its end id.
+    ``special_tokens`` as in :func:`word_bpe.chunk_encoder`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_bpe.chunk_encoder(tokenizer)
+        encoder = word_bpe.chunk_encoder(tokenizer, special_tokens)
         for batch in batches:
             for part in slices(batch):
                 flat, where = word_bpe.encode_batch(encoder, part.column("text"), end_id)

@@ -81,15 +81,16 @@ def id_ranks(tokens: DataFrame, width: str) -> np.ndarray:
     return np.array([r.id for r in rows], np.uint32)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, key: str = "doc_id", parts: int | None = None) -> str:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, key: str = "doc_id", parts: int | None = None, special_tokens: bool = False) -> str:
     """Encode whole texts and write them in ascending key order; returns the folder of ``files`` and ``ranks``.
 
     Null texts are empty, empty texts have the end id alone; null keys come first and rows of one key stay apart.
+    ``special_tokens`` as in :func:`word_bpe.chunk_encoder`.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "token-files")
     width = word_bpe.id_width(tokenizer, end_id)
-    tokens = word_bpe.encode(docs, tokenizer, end_id, key, width=width).select(F.col(key).alias("key"), "ids")
+    tokens = word_bpe.encode(docs, tokenizer, end_id, key, width=width, special_tokens=special_tokens).select(F.col(key).alias("key"), "ids")
     kind = docs.schema[key].dataType.simpleString()
     tokens = materialize(tokens.withColumn("uid", F.monotonically_increasing_id()), "token-ids")
     order = id_ranks(tokens, width)

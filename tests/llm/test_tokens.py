@@ -128,3 +128,24 @@ def test_no_rows(spark):
     assert byte_bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
     assert token_files.read(spark, token_files.write(none, WORDS)).count() == 0
     assert packing.pack(packing.pieces(none, WORDS)).count() == 0
+
+
+def test_special_tokens_and_capitals_before_marks(spark, tmp_path):
+    """Ids of the library as it is, also through the registered queries."""
+    from tokenizers import Tokenizer
+
+    from lumenlex.llm import queries
+
+    theirs, rng = Tokenizer.from_file(WORDS), random.Random(4)
+    bits = [*BITS, "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "H\u0331", "h\u0331", "T\u0308", "J\u030c", "W\u030a", "A\u0301", "The", "\u0338"]
+    texts = [None, "", "a <|endoftext|> b", "H\u0331 x", "the end. " * 500 + "<|endoftext|>"] + ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: [*theirs.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[2] == [320, 49407, 321, 1]
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in word_bpe.encode(docs, WORDS, special_tokens=True).collect()} == want
+    ordinary = library()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in word_bpe.encode(docs, WORDS).collect()} == {i: [*ordinary.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    crc = {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op8_token_files(spark, str(tmp_path)).collect()} == crc
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in queries.op10_packing(spark, str(tmp_path)).collect()} == crc
