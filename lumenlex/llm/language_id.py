@@ -7,6 +7,11 @@ approximated from ``LANDMARKS`` training texts (Nyström), and one ridge
 regression against the rest for each language gives the scores, as two matrix
 products for a batch of texts.
 
+Those scores sum to about 1, so the best of a few is never small.  Whether a
+text resembles its language at all is told by the commonness of its n-grams:
+the mean, over all n-grams with a letter, of the share of the language's sample
+rows that hold the n-gram's slot.  It does not depend on the text's length.
+
 The fit uses a bounded sample of labelled rows (``SAMPLE_ROWS``, spread evenly
 over the languages); prediction reads every whole text.
 """
@@ -14,6 +19,7 @@ over the languages); prediction reads every whole text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlex.llm.chunks import slices
+from lumenlex.storage import materialize
 
 LENGTHS = (1, 2, 3)
 SLOTS = 8192
@@ -30,16 +37,16 @@ SAMPLE_ROWS = 4096
 #: The most frequent labels are learned, at most so many.
 MAX_LANGUAGES = 512
 RIDGE = 1e-3
+#: A text is foreign below this part of this quantile of the sample rows' commonness.
+FOREIGN, QUANTILE = 0.8, 0.01
 ROWS = 256
 
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
-def presence(text: pa.Array) -> np.ndarray:
-    """A row of slots for each text, 1 where one of its n-grams falls."""
+def grams(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: the length, all code points, a mask of the n-grams inside one text, and the row and slot of each of those."""
     text = pc.utf8_lower(pc.fill_null(text.cast(pa.string()), ""))
-    out = np.zeros((len(text), SLOTS), np.uint8)
-    flat = out.ravel()
     lengths = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
     codes = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(text), dtype=np.int32), lengths)
@@ -52,10 +59,40 @@ def presence(text: pa.Array) -> np.ndarray:
             mixed = (mixed ^ codes[k : k + n]) * _MIX[k]
             mixed ^= mixed >> np.uint32(15)
         inside = row[:n] == row[p - 1 :]
-        flat[row[:n][inside].astype(np.int64) * SLOTS + (mixed[inside] >> np.uint32(32 - SLOTS.bit_length() + 1))] = 1
+        yield p, codes, inside, row[:n][inside].astype(np.int64), mixed[inside] >> np.uint32(32 - SLOTS.bit_length() + 1)
+
+
+def presence(text: pa.Array) -> np.ndarray:
+    """A row of slots for each text, 1 where one of its n-grams falls."""
+    out = np.zeros((len(text), SLOTS), np.uint8)
+    flat = out.ravel()
+    for _, _, _, row, slot in grams(text):
+        flat[row * SLOTS + slot] = 1
     return out
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Marks the code points that are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def commonness(text: pa.Array, shares: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """Mean share (languages by slots) of each text's n-grams with a letter, in the language given for it; 0 without a letter."""
+    total, number = np.zeros(len(text)), np.zeros(len(text))
+    flat = shares.ravel()
+    for p, codes, inside, row, slot in grams(text):
+        letter = letters()[codes]
+        some = letter[: len(inside)].copy()
+        for k in range(1, p):
+            some |= letter[k : k + len(inside)]
+        some = some[inside]
+        row, slot = row[some], slot[some]
+        total += np.bincount(row, flat[language[row] * SLOTS + slot], len(text))
+        number += np.bincount(row, minlength=len(text))
+    return total / np.maximum(number, 1)
+
+
 def unit_kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Normalised kernel of presence rows with landmarks (slots by landmark, already divided by the roots of their sizes)."""
     rows = rows.astype(np.float32)
@@ -64,7 +101,13 @@ def unit_kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """``languages`` in order, ``landmarks``, and each language's weights of the landmarks and constant."""
+    """``languages`` in order, ``landmarks``, and each language's weights of the landmarks and constant.
+
+    ``shares`` of each language's sample rows by slot, and the ``least`` commonness of a text that is not foreign.
+    """
+
+    shares: np.ndarray | None = None
+    least = 0.0
 
     def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray, constant: np.ndarray):
         self.languages, self.landmarks, self.weights, self.constant = languages, landmarks, weights, constant
@@ -72,6 +115,12 @@ class Model:
     def scores(self, text: pa.Array) -> np.ndarray:
         return unit_kernel(presence(text), self.landmarks) @ self.weights + self.constant
 
+    def known(self, text: pa.Array, scores: np.ndarray) -> np.ndarray:
+        """Whether each text is as common as texts of the language with its best score are."""
+        if self.shares is None:
+            return np.ones(len(text), bool)
+        return commonness(text, self.shares, scores.argmax(1)) >= self.least
+
 
 def learn(languages: list[str], bits: list[bytes], labels: list[str], ridge: float = RIDGE, landmarks: int = LANDMARKS) -> Model:
     """From presence rows as packed bits. Landmarks are dealt over the languages in turn."""
@@ -117,8 +166,33 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([x.tobytes() for x in packed], pa.binary())], ["label", "bits"])
 
     # About sample_rows rows of one kilobyte, whatever the texts' length.
-    sample = drawn.select("text", "label").mapInArrow(rows_of, "label string, bits binary").orderBy("label", "bits").collect()
-    return learn(languages, [bytes(r.bits) for r in sample], [r.label for r in sample]) if sample else None
+    drawn = materialize(drawn.select("text", "label"), "sample")
+    sample = drawn.mapInArrow(rows_of, "label string, bits binary").orderBy("label", "bits").collect()
+    if not sample:
+        return None
+    bits, labels = [bytes(r.bits) for r in sample], [r.label for r in sample]
+    model = learn(languages, bits, labels)
+    place = {x: i for i, x in enumerate(languages)}
+    rows_in = np.zeros(len(languages), np.int64)
+    held = np.zeros((len(languages), SLOTS))
+    for x, y in zip(bits, labels, strict=True):
+        rows_in[place[y]] += 1
+        held[place[y]] += np.unpackbits(np.frombuffer(x, np.uint8))
+    shares = (held / np.maximum(rows_in, 1)[:, None]).astype(np.float32)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                own = np.array([place[x] for x in part.column("label").to_pylist()])
+                n = rows_in[own]
+                # Without the row itself, which holds all of its slots; the only row of a language tells nothing.
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(n * commonness(part.column("text"), shares, own) - 1, 0) / np.maximum(n - 1, 1))], ["common"])
+
+    if len(sample) * QUANTILE >= 1:
+        seen = [r.common for r in drawn.mapInArrow(common, "common double").collect()]
+        model.shares, model.least = shares, FOREIGN * float(np.quantile(seen, QUANTILE))
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,7 +222,13 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
 
 def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.1, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a letter and scores ``min_score`` or more for some language. Narrow."""
+    """The rows of ``docs``, all columns, whose text has a letter, scores ``min_score`` or more for some language and is not foreign to it. Narrow.
+
+    Foreign is a text whose n-grams are less common than ``FOREIGN`` times a
+    low quantile of the sample rows'; one that is foreign for its larger part
+    goes as well.  A sample of fewer than ``1 / QUANTILE`` rows has no such
+    quantile, and then no text is foreign.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +237,8 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.1, tex
                     some = part.slice(start, ROWS)
                     good = pc.fill_null(pc.match_substring_regex(some.column(text), r"\pL"), False)
                     if model is not None and pc.any(good).as_py():
-                        good = pc.and_(good, pa.array(model.scores(some.column(text)).max(1) >= min_score))
+                        scores = model.scores(some.column(text))
+                        good = pc.and_(good, pa.array((scores.max(1) >= min_score) & model.known(some.column(text), scores)))
                     yield some.filter(good)
 
     return docs.mapInArrow(run, docs.schema)

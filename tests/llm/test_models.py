@@ -29,6 +29,24 @@ def test_languages_without_letters_or_labels(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_foreign_texts_go_and_clean_ones_stay(spark):
+    """Scripts and languages that no training row has; all documents of the four languages stay."""
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "يولد جميع الناس أحرارًا متساوين في الكرامة والحقوق.",
+        "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(-i, t * n, None, "s", 1) for i, (t, n) in enumerate(((t, n) for t in foreign for n in (1, 300)), 1)]
+    out = corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(rows, DOCS).select(*docs.columns)), SF)
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+
+
 def test_kernel_counts_shared_ngrams():
     import pyarrow as pa
 
