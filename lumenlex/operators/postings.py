@@ -1,15 +1,20 @@
 """Term dictionaries, posting lists and blocks as tables.
 
-What a cursor steps through is a filter or an aggregate here: ``seek`` is the
-smallest document from a target on.
+What a cursor steps through is one sort of postings and targets here: ``seek``
+is the smallest document from a target on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlex.operators.numbering import numbered
+from lumenlex.storage import materialize
 
 BLOCK = 2
 
@@ -45,9 +50,58 @@ def posting_list(rows: DataFrame) -> DataFrame:
 def seek(postings: DataFrame, targets: DataFrame) -> DataFrame:
     """(field_id, term, target, doc_id, term_freq): for each (field_id, term, target), the first document not below the target.
 
-    Past the end doc_id is null and term_freq 0.
+    Past the end, and for a null target, doc_id is null and term_freq 0.
+
+    One range-partitioned sort of postings and targets together: a target takes
+    the next posting of its partition, or else the first one of a later
+    partition, for which one row a partition is kept.
     """
-    rows = postings.select("field_id", "term", "doc_id", "term_freq").join(targets, ["field_id", "term"]).where("doc_id >= target")
-    first = rows.groupBy("field_id", "term", "target").agg(F.min(F.struct("doc_id", "term_freq")).alias("p"))
-    found = targets.join(first, ["field_id", "term", "target"], "left")
-    return found.select("field_id", "term", "target", F.col("p.doc_id").alias("doc_id"), F.coalesce("p.term_freq", F.lit(0)).alias("term_freq"))
+    spark = postings.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = {"doc_id": postings.schema["doc_id"].dataType, "target": targets.schema["target"].dataType}
+    some = postings.where("field_id IS NOT NULL AND term IS NOT NULL AND doc_id IS NOT NULL")
+    rows = some.select("field_id", "term", F.col("doc_id").alias("at"), F.col("term_freq").cast("long").alias("freq"), F.lit(1).alias("posting"))
+    rows = materialize(rows.unionByName(targets.select("field_id", "term", F.col("target").alias("at"), F.lit(None).cast("long").alias("freq"), F.lit(0).alias("posting"))), "unsought")
+    # Backwards, so that the next posting is the last one seen; a target comes after a posting of its document.
+    order = [F.desc(x) for x in ("field_id", "term", "at", "posting", "freq")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    names = ["field_id", "term", "at", "posting", "part", "next_field", "next_term", "next_at", "next_freq"]
+
+    def following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Targets with the posting that follows, of whichever term; at the end the partition's first posting, as a row of its own."""
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            is_posting = both["posting"].to_numpy() == 1
+            seen = np.maximum.accumulate(np.where(is_posting, np.arange(len(is_posting)), -1))
+            at = np.flatnonzero(~is_posting)
+            if len(at):
+                found = both.take(pa.array(seen[at], mask=seen[at] < 0))
+                own = both.take(pa.array(at))
+                yield from pa.table([own[x] for x in names[:5]] + [found[x] for x in ("field_id", "term", "at", "freq")], names).to_batches()
+            if seen[-1] >= 0:
+                last = both.slice(seen[-1], 1).combine_chunks().to_batches()[0]
+        if last is not None:
+            yield from pa.table([last[x] for x in names[:5]] + [last[x] for x in ("field_id", "term", "at", "freq")], names).to_batches()
+
+    kind = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+    schema = f"field_id {kind['field_id']}, term {kind['term']}, at {kind['at']}, posting int, part int, next_field {kind['field_id']}, next_term {kind['term']}, next_at {kind['at']}, next_freq long"
+    sought = materialize(ordered.mapInArrow(following, schema), "sought")
+    # Partitions run backwards too: what follows a partition's last row is the first posting of the closest one before it that has any.
+    firsts = sought.where("posting = 1").select("part", F.struct(*names[5:]).alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    ends = spark.range(parts).select(F.col("id").cast("int").alias("part")).join(firsts, "part", "left").select("part", F.last("first", ignorenulls=True).over(before).alias("later"))
+    open_ = F.col("next_field").isNull()
+    out = sought.where("posting = 0").join(F.broadcast(ends), "part", "left")
+    follows = {x: F.when(open_, F.col(f"later.{x}")).otherwise(F.col(x)) for x in names[5:]}
+    out = out.withColumns(follows)
+    hit = F.col("at").isNotNull() & (F.col("next_field") == F.col("field_id")) & (F.col("next_term") == F.col("term"))
+    return out.select(
+        "field_id",
+        "term",
+        F.col("at").cast(kinds["target"]).alias("target"),
+        F.when(hit, F.col("next_at")).cast(kinds["doc_id"]).alias("doc_id"),
+        F.coalesce(F.when(hit, F.col("next_freq")).cast(postings.schema["term_freq"].dataType), F.lit(0)).alias("term_freq"),
+    )

@@ -69,6 +69,25 @@ def test_blocks_and_seek(spark):
     assert found == {("a", 0): (1, 3), ("a", 4): (5, 1), ("a", 5): (5, 1), ("a", 6): (None, 0), ("b", 0): (None, 0)}
 
 
+def test_seek_pairs_no_postings_with_targets(spark):
+    """Every document as a target, over partition ends, terms without postings, repeats and nulls; no join by term."""
+    rng = random.Random(5)
+    held = [(f, t, d, rng.randint(1, 9)) for f in (1, 2) for t in ("a", "b") for d in range(0, 600, 2) if (t == "a" and rng.random() < 0.1) or (t == "b" and d > 550)]
+    rows = spark.createDataFrame(held, "field_id int, term string, doc_id long, term_freq int").repartition(3)
+    asked = [(f, t, d) for f in (1, 2) for t in ("a", "b", "none") for d in range(610)] + [(1, "a", 7), (1, "a", None), (None, "a", 1), (1, None, 1)]
+    targets = spark.createDataFrame(asked, "field_id int, term string, target int")
+    found = postings.seek(rows, targets)
+    want = []
+    for f, t, d in asked:
+        after = [(x, n) for g, u, x, n in held if (g, u) == (f, t) and d is not None and x >= d]
+        want.append((f, t, d, *(min(after) if after else (None, 0))))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert found.schema["target"].dataType.simpleString() == "int" and found.schema["term_freq"].dataType.simpleString() == "int"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(doc_id" not in plan and "Join Inner, ((field_id" not in plan
+    assert postings.seek(rows.limit(0), targets).where("doc_id IS NOT NULL").count() == 0 and postings.seek(rows, targets.limit(0)).count() == 0
+
+
 def test_dictionary_and_last_wins(spark):
     rows = spark.createDataFrame([(2, "b", 1), (1, "z", 1), (1, "a", 1), (1, "a", 0), (1, "m", 0)], "field_id int, term string, doc_id long")
     out = {(r.field_id, r.term): (r.term_id, r.doc_freq) for r in postings.term_dictionary(rows).collect()}
