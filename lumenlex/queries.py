@@ -25,9 +25,6 @@ from lumenlex.sources.index import Field, Index, build_index, field_values, open
 FIELDS = (Field(1, "title"), Field(2, "body"))
 WEIGHTS = {1: 2.0, 2: 0.5}
 
-#: Over a top-k result only.
-BEST_FIRST = Window.orderBy(F.desc("score"), F.desc("doc_id"))
-
 #: Frequent words of the corpus, for a wide query.
 WIDE = "the in en and to of a that with for on is was by at la le el les un los der die und de que une as or an from this are it he she you have not but".split()
 
@@ -71,10 +68,11 @@ def _labelled(condition: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _ranked(spark: SparkSession, sf_dir: str, repeat: bool = False) -> DataFrame:
     """Top 20 lists of three queries, as (list_id, id, rank); ``repeat`` adds every id again with a worse rank."""
+    best_first = Window.orderBy(F.desc("score"), F.desc("doc_id"))  # over a top-k result only
     lists = None
     for i, query in enumerate(("title:the", "the AND of", "in OR to")):
         best = collect.search(index(spark, sf_dir), query, 20)
-        one = best.withColumn("rank", F.row_number().over(BEST_FIRST)).select(F.lit(i).alias("list_id"), F.col("doc_id").cast("string").alias("id"), "rank")
+        one = best.withColumn("rank", F.row_number().over(best_first)).select(F.lit(i).alias("list_id"), F.col("doc_id").cast("string").alias("id"), "rank")
         lists = one if lists is None else lists.union(one)
     return lists.union(lists.withColumn("rank", F.col("rank") + 7)) if repeat else lists
 
