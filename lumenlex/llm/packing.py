@@ -7,8 +7,9 @@ work spreads over executors and costs at most one part-filled sequence a group.
 Inside a group the incumbent is best-fit decreasing.  While it is above the
 lower bound, branch and bound completes the sequence of the largest piece left
 with each undominated filling, best fit first, and prunes a branch whose waste
-already rules out a better packing.  ``node_limit`` bounds the search; the best
-packing found so far stands, and no piece is ever dropped.
+already rules out a better packing.  Fillings have any number of pieces.  Only
+``node_limit`` bounds the search; the best packing found so far stands, and no
+piece is ever dropped.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from lumenlex.llm import word_bpe
 from lumenlex.llm.chunks import slices
 from lumenlex.storage import materialize
 
+#: Bins of a search whose tables of sums are kept.
+KEPT_SUMS = 64
+
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of lengths: each, in descending order, into the fullest bin that takes it."""
@@ -63,33 +67,92 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return int(max((big + middle_number + more).max(initial=0), -(-sum(lengths) // capacity)))
 
 
-def completions(left: list[int], count: dict[int, int], room: int, width: int = 4, branch: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to ``width`` pieces of the ascending distinct lengths, fullest first.
-
-    A filling is dominated by one of no more pieces that has at least its sum.
+def reachable(lengths: list[int], counts: list[int], room: int) -> list[int]:
+    """For each i, as bits: the sums up to ``room`` of some of the first i lengths, each at most ``counts`` times."""
+    mask, out = (1 << room + 1) - 1, [1]
+    for x, n in zip(lengths, counts, strict=True):
+        sums, step = out[-1], 1
+        while n:
+            step = min(step, n)
+            sums |= sums << x * step & mask
+            n -= step
+            step *= 2
+        out.append(sums)
+    return out
+
+
+class Fillings:
+    """The undominated fillings of ``room`` by pieces of the ascending ``lengths``, fullest first, as far as they are asked for.
+
+    All multisets of pieces that waste at most ``spare`` are met; ``next`` gives
+    one, or an empty result for a dominated one, so that a caller can count both.
+    A filling is dominated if some of its pieces can be replaced by one piece
+    that is left, not smaller than them, which still fits: whatever packing uses
+    the filling stays one when the pieces trade places.
     """
-    found: list[tuple[int, ...]] = []
-    best = [-1] * (width + 1)
-
-    def extend(chosen: tuple[int, ...], end: int, room_left: int) -> None:
-        total, n = room - room_left, len(chosen)
-        if n and total > max(best[: n + 1]):
-            best[n] = total
-            found.append(chosen)
-        if n == width or not room_left:
-            return
-        at = bisect.bisect_right(left, room_left, 0, end)
-        for i in range(at - 1, max(-1, at - 1 - branch), -1):
-            x = left[i]
-            extend((*chosen, x), i + (chosen.count(x) + 1 < count[x]), room_left - x)
 
-    extend((), len(left), room)
-    kept = [f for f in found if all(sum(g) < sum(f) or len(g) > len(f) or g is f for g in found)]
-    return sorted(kept, key=lambda f: (-sum(f), len(f))) or [()]
+    def __init__(self, lengths: list[int], counts: list[int], room: int, spare: int):
+        self.lengths, self.counts, self.room, self.spare = lengths, counts, room, spare
+        self.sums: list[int] | None = None
+        self.found = self._all()
+
+    def next(self) -> tuple[bool, tuple[int, ...]] | None:
+        """(whether it is undominated, the filling), or None at the end."""
+        return next(self.found, None)
+
+    def forget(self) -> None:
+        """Gives up the table of sums, which is made again where it is needed."""
+        self.sums = None
+
+    def _sums(self) -> list[int]:
+        if self.sums is None:
+            self.sums = reachable(self.lengths, self.counts, self.room)
+        return self.sums
+
+    def _all(self) -> Iterator[tuple[bool, tuple[int, ...]]]:
+        for waste in range(min(self.spare, self.room) + 1):
+            if self._sums()[-1] >> self.room - waste & 1:
+                for filling in self._exact(len(self.lengths), self.room - waste):
+                    yield not self._dominated(filling, waste), filling
+
+    def _exact(self, end: int, total: int) -> Iterator[tuple[int, ...]]:
+        """Multisets of the first ``end`` lengths of that total, larger pieces first."""
+        if not total:
+            yield ()
+            return
+        for i in range(bisect.bisect_right(self.lengths, total, 0, end) - 1, -1, -1):
+            x = self.lengths[i]
+            for n in range(min(self.counts[i], total // x), 0, -1):
+                if self._sums()[i] >> total - n * x & 1:
+                    for rest in self._exact(i, total - n * x):
+                        yield (x,) * n + rest
+            if not self._sums()[i] >> total & 1:
+                return  # no multiset of smaller lengths has this total
+
+    def _dominated(self, filling: tuple[int, ...], waste: int) -> bool:
+        used = Counter(filling)
+        left = 0
+        for x, n in zip(self.lengths, self.counts, strict=True):
+            if n > used[x]:
+                left |= 1 << x
+        some, several = 1, 0  # sums of any of its pieces, and of two or more of them
+        for x in filling:
+            several |= (several | some & ~1) << x
+            some |= some << x
+        # A piece replaces pieces of its own sum, if these are several, or of a sum less by up to the waste.
+        near, reach = some << 1, 1
+        while reach < waste:
+            step = min(reach, waste - reach)
+            near |= near << step
+            reach += step
+        return bool(left & (several | near if waste else several))
 
 
 def bin_completion(lengths: list[int], capacity: int, node_limit: int = 20_000) -> list[list[int]]:
-    """As few bins as found within ``node_limit`` nodes; never more than best-fit decreasing."""
+    """As few bins as there can be, or as are found within ``node_limit`` nodes; never more than best-fit decreasing.
+
+    A node is one filling, dominated or not, of one bin.
+    """
     incumbent = best_fit(lengths, capacity)
     total, bound = sum(lengths), lower_bound(lengths, capacity)
     if len(incumbent) == bound:
@@ -107,19 +170,27 @@ def bin_completion(lengths: list[int], capacity: int, node_limit: int = 20_000)
 
     bins: list[list[int]] = []
     waste, nodes = 0, 0
-    open_: list[list[tuple[int, ...]]] = []  # for each bin, the fillings still to try, best last
+    open_: list[Fillings] = []  # for each bin, the fillings still to try
 
-    def fillings() -> list[tuple[int, ...]]:
-        return completions(left, count, capacity - bins[-1][0])[::-1]
+    def spare() -> int:
+        """Waste that a packing better than the incumbent may still have."""
+        return (len(incumbent) - 1) * capacity - total - waste
 
     def start() -> None:
-        bins.append([left[-1]])
-        take(left[-1], 1)
-        open_.append(fillings())
+        largest = left[-1]
+        bins.append([largest])
+        take(largest, 1)
+        fit = left[: bisect.bisect_right(left, capacity - largest)]
+        open_.append(Fillings(fit, [count[x] for x in fit], capacity - largest, spare()))
+        if len(open_) > KEPT_SUMS:
+            open_[-KEPT_SUMS - 1].forget()
 
     start()
     while open_ and nodes < node_limit:
-        if not open_[-1]:  # nothing left to try here: back to the bin before
+        nodes += 1
+        tried = open_[-1].next()
+        lost = 0 if tried is None else capacity - bins[-1][0] - sum(tried[1])
+        if tried is None or lost > spare():  # nothing left to try here, as the rest wastes no less: back to the bin before
             open_.pop()
             take(bins.pop()[0], -1)
             if bins:
@@ -128,11 +199,9 @@ def bin_completion(lengths: list[int], capacity: int, node_limit: int = 20_000)
                 waste -= capacity - sum(bins[-1])
                 del bins[-1][1:]
             continue
-        nodes += 1
-        filling = open_[-1].pop()
-        lost = capacity - bins[-1][0] - sum(filling)
-        if waste + lost > (len(incumbent) - 1) * capacity - total:
-            continue  # too much waste for a better packing
+        good, filling = tried
+        if not good:
+            continue
         for x in filling:
             take(x, 1)
         bins[-1].extend(filling)

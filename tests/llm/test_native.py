@@ -87,37 +87,60 @@ def test_hypergeometric_beyond_numpy():
 
 
 def fewest(lengths, capacity):
-    best = len(lengths)
+    """By trying every place of every piece."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(packing.best_fit(lengths, capacity))
 
-    def go(i, bins):
-        nonlocal best
-        if len(bins) >= best:
-            return
+    def fits(i, rooms, seen):
         if i == len(lengths):
-            best = len(bins)
-            return
-        for k in {b: k for k, b in enumerate(bins) if b + lengths[i] <= capacity}.values():
-            bins[k] += lengths[i]
-            go(i + 1, bins)
-            bins[k] -= lengths[i]
-        go(i + 1, [*bins, lengths[i]])
-
-    lengths = sorted(lengths, reverse=True)
-    go(0, [])
+            return True
+        if (i, rooms) in seen:
+            return False
+        seen.add((i, rooms))
+        return any(fits(i + 1, tuple(sorted([*rooms[:k], r - lengths[i], *rooms[k + 1 :]])), seen) for k, r in enumerate(rooms) if r >= lengths[i] and r not in rooms[:k])
+
+    while best * capacity >= sum(lengths) + capacity and fits(0, (capacity,) * (best - 1), set()):
+        best -= 1
     return best
 
 
 def test_bin_completion_is_optimal_on_small_sets():
+    """Sets of which best-fit does not meet the bound, as the others are not searched, and some that it does."""
     rng = random.Random(3)
-    for _ in range(200):
-        capacity = rng.choice([10, 30, 100])
-        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 10))]
-        bins = packing.bin_completion(lengths, capacity)
+    left_open = better = 0
+    while left_open < 2000:
+        capacity = rng.choice([10, 30, 50, 100, 1000])
+        lengths = [rng.randint(1, max(1, rng.choice([capacity // 4, capacity // 3, capacity // 2, capacity]))) for _ in range(rng.randint(1, 18))]
+        is_open = len(packing.best_fit(lengths, capacity)) > packing.lower_bound(lengths, capacity)
+        if not is_open and rng.random() < 0.99:
+            continue
+        left_open += is_open
+        bins = packing.bin_completion(lengths, capacity, 10**6)
         assert sorted(itertools.chain(*bins)) == sorted(lengths) and all(sum(b) <= capacity for b in bins)
-        assert packing.lower_bound(lengths, capacity) <= fewest(lengths, capacity) == len(bins)
+        assert packing.lower_bound(lengths, capacity) <= fewest(lengths, capacity) == len(bins), (lengths, capacity)
+        better += len(bins) < len(packing.best_fit(lengths, capacity))
+    assert better > 500
     assert packing.bin_completion([], 10) == []
 
 
+@pytest.mark.parametrize(("lengths", "capacity", "bins"), [([22, 18, 17, 15, 14, 11, 1, 1, 1], 50, 2), ([41, 39, 38, 37, 37, 33, 27, 26, 4], 100, 3), ([6, 3, 3, 2, 2, 2, 2], 10, 2)])
+def test_fillings_of_many_pieces(lengths, capacity, bins):
+    assert len(packing.bin_completion(lengths, capacity)) == bins
+
+
+def test_node_limit_keeps_the_best_so_far():
+    rng = random.Random(5)
+    lengths = [rng.randint(700, 2000) for _ in range(3000)]
+    few, more = (len(packing.bin_completion(lengths, 4096, n)) for n in (100, 3000))
+    assert packing.lower_bound(lengths, 4096) <= more <= few <= len(packing.best_fit(lengths, 4096))
+
+
+def test_completion_beats_best_fit_in_a_job(spark):
+    lengths = [41, 39, 38, 37, 37, 33, 27, 26, 4, 100]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").repartition(3), capacity=100).collect()
+    assert len(packing.best_fit(lengths, 100)) == 5 and len({r.sequence_id for r in rows}) == 4 and len(rows) == len(lengths)
+
+
 def test_best_fit_can_be_improved():
     lengths = [6, 6, 6, 5, 5, 5, 4, 4, 4, 3, 3, 3, 2, 2, 2]
     assert len(packing.bin_completion(lengths, 12)) == 5
