@@ -40,6 +40,42 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system, whichever that is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """Tables of one operator's run in a folder of their own, deleted when the block ends or earlier.
+
+    A result that leaves the block is written by :func:`materialize` first.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder = spark, fresh_path(spark, label)
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        delete(self.spark, self.folder)
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.folder}/{label}-{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for df, path in self.paths:
+            if any(df is x for x in tables):
+                delete(self.spark, path)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
