@@ -2,15 +2,21 @@
 
 Each analyzer exists twice, for columns and for a query's terms in the driver;
 both give the same tokens.  Null text stays null; empty text has no tokens.
+
+ASCII texts are mapped by built-in functions; only others reach a Python worker.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +24,7 @@ from pyspark.sql import functions as F
 #: Unicode White_Space, for Java and for Python.
 JAVA_SPACE = r"(?U)\s+"
 _TOKEN = regex.compile(r"\P{White_Space}+")
+_AROUND = regex.compile(r"^\p{White_Space}+|\p{White_Space}+$")
 
 FORMS = (None, "NFC", "NFKC")
 CASES = (None, "lower", "fold")
@@ -52,11 +59,52 @@ class Normalizer:
         return self.form != "NFKC"
 
 
+class Mapping(Protocol):
+    """What an analyzer takes as a normalizer: any hashable object with these two.
+
+    ``whole_text`` says that a whole text may be mapped before it is split, which
+    is so if no white space is made or removed and each token is mapped alike
+    wherever it stands.
+    """
+
+    @property
+    def whole_text(self) -> bool: ...
+
+    def text(self, value: str) -> str: ...
+
+
+def words(value: str) -> list[str]:
+    """The white-space tokens of a text, in the driver."""
+    return _TOKEN.findall(value)
+
+
+def trimmed(value: str) -> str:
+    """A text without the white space around it."""
+    return _AROUND.sub("", value)
+
+
+def split(value: Column) -> Column:
+    """Array of the white-space tokens of a text."""
+    return F.filter(F.split(value, JAVA_SPACE), lambda t: t != "")
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """How texts become tokens: as a column (text to array of strings), and its twin for a query's text in the driver."""
+
+    column: Callable[[Column], Column]
+    words: Callable[[str], list[str]]
+
+
+WHITE_SPACE = Tokenizer(split, words)
+
+
 @dataclass(frozen=True)
 class Analyzer:
-    """White-space tokens, each through the normalizers in turn."""
+    """Tokens, each through the normalizers in turn."""
 
-    normalizers: tuple[Normalizer, ...] = (Normalizer(),)
+    normalizers: tuple[Mapping, ...] = (Normalizer(),)
+    tokenizer: Tokenizer = WHITE_SPACE
 
     def text(self, value: str) -> str:
         for n in self.normalizers:
@@ -65,19 +113,32 @@ class Analyzer:
 
     def terms(self, value: str) -> list[str]:
         """Terms of a query text, in the driver."""
-        return [self.text(t) for t in _TOKEN.findall(value)]
+        return [self.text(t) for t in self.tokenizer.words(value)]
 
     def column(self, value: Column) -> Column:
         """Array of the terms of each text.
 
-        Lower-casing alone stays in the JVM; canonical forms and folding are
-        not built in and go through Arrow, once for a text.
+        Lower-casing alone stays in the JVM, and so do ASCII texts whatever the
+        form; canonical forms and folding of others are not built in and go
+        through Arrow, once for a text.
         """
-        if all(n.form is None and n.case != "fold" for n in self.normalizers):
-            return split(F.lower(value) if any(n.case for n in self.normalizers) else value)
-        if all(n.whole_text for n in self.normalizers):
-            return split(self._mapped("string")(value))
-        return self._mapped("array<string>")(split(value))
+        usual = all(isinstance(n, Normalizer) for n in self.normalizers)
+        lower = F.lower if usual and any(n.case for n in self.normalizers) else lambda x: x
+        if usual and all(n.form is None and n.case != "fold" for n in self.normalizers):
+            return self.tokenizer.column(lower(value)) if self.tokenizer is WHITE_SPACE else F.transform(self.tokenizer.column(value), lower)
+        if self.tokenizer is WHITE_SPACE and all(n.whole_text for n in self.normalizers):
+            return split(self.mapped(value))
+        if not usual:
+            return self._mapped("array<string>")(self.tokenizer.column(value))
+        plain = F.transform(self.tokenizer.column(value), lower)
+        return F.when(_ascii(value), plain).otherwise(self._mapped("array<string>")(self.tokenizer.column(F.when(~_ascii(value), value))))
+
+    def mapped(self, value: Column) -> Column:
+        """The whole text through the normalizers."""
+        if not all(isinstance(n, Normalizer) for n in self.normalizers):
+            return self._mapped("string")(value)
+        plain = F.lower(value) if any(n.case for n in self.normalizers) else value
+        return F.when(_ascii(value), plain).otherwise(self._mapped("string")(F.when(~_ascii(value), value)))
 
     def _mapped(self, kind: str):  # noqa: ANN202
         one = self.text
@@ -93,25 +154,55 @@ class Analyzer:
         return mapped
 
 
-def split(value: Column) -> Column:
-    """Array of the white-space tokens of a text."""
-    return F.filter(F.split(value, JAVA_SPACE), lambda t: t != "")
+def _ascii(value: Column) -> Column:
+    return F.octet_length(value) == F.char_length(value)
 
 
-def tokens(value: Column, analyzer: Analyzer = Analyzer(), position_offset: int = 0) -> Column:
-    """Array of (text, position, start, end, term); positions from the offset, byte ranges in UTF-8."""
+def _space(data: np.ndarray) -> np.ndarray:
+    """Marks every byte of each White_Space character of a UTF-8 buffer."""
+    space = np.isin(data, np.array([9, 10, 11, 12, 13, 32], np.uint8))
+    if not len(data) or data.max() < 0x80:
+        return space
+    padded = np.append(data, np.zeros(2, np.uint8))
+    code = padded[:-2].astype(np.uint32) << 16 | padded[1:-1].astype(np.uint32) << 8 | padded[2:]
+    # U+0085 and U+00A0 in two bytes; U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F and U+3000 in three.
+    two = np.isin(code >> 8, np.array([0xC285, 0xC2A0], np.uint32))
+    three = np.isin(code, np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080], np.uint32))
+    for mark, width in ((two, 2), (three, 3)):
+        for k in range(width):
+            space[k:] |= mark[: len(space) - k]
+    return space
 
-    @F.pandas_udf("array<struct<text:string,position:int,start:int,end:int,term:string>>")
-    def found(values: pd.Series) -> pd.Series:
-        def one(value: str) -> list[dict]:
-            out, at, seen = [], 0, 0
-            for k, m in enumerate(_TOKEN.finditer(value), position_offset):
-                start = at + len(value[seen : m.start()].encode())
-                at, seen = start + len(m[0].encode()), m.end()
-                out.append({"text": m[0], "position": k, "start": start, "end": at, "term": analyzer.text(m[0])})
-            return out
 
-        return values.map(one, na_action="ignore")
+def tokens(value: Column, analyzer: Analyzer = Analyzer(), position_offset: int = 0) -> Column:
+    """Array of (text, position, start, end, term) of the white-space tokens; positions from the offset, byte ranges in UTF-8.
+
+    A batch of texts is cut at once, and each of its distinct tokens is mapped once.
+    """
+
+    @F.arrow_udf("array<struct<text:string,position:int,start:int,end:int,term:string>>")
+    def found(values: pa.Array) -> pa.Array:
+        raw = values.cast(pa.large_binary())
+        size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(b"".join(x or b"" for x in raw.to_pylist()), np.uint8)
+        ends_of = np.cumsum(size)
+        begins_of = ends_of - size
+        word = np.append(~_space(data), False)
+        first = np.zeros(len(data) + 1, bool)
+        first[begins_of] = True  # a text's first byte begins a token even right behind another text's last
+        before = np.append(False, word[:-1])
+        starts = np.flatnonzero(word & (~before | first))
+        stop = np.flatnonzero(before & (~word | first))
+        row = np.searchsorted(ends_of, starts, side="right")
+        counts = np.bincount(row, minlength=len(size))
+        place = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
+        texts = pa.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), stop.tolist(), strict=True)], pa.binary()).cast(pa.string())
+        distinct = texts.dictionary_encode()
+        terms = pa.array([analyzer.text(x) for x in distinct.dictionary.to_pylist()], pa.string()).take(distinct.indices)
+        own = begins_of[row]
+        cells = pa.StructArray.from_arrays([texts, *(pa.array(x.astype(np.int32)) for x in (place + position_offset, starts - own, stop - own)), terms], ["text", "position", "start", "end", "term"])
+        bounds = np.append(0, np.cumsum(counts)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), cells, mask=pc.is_null(values))
 
     return found(value)
 
@@ -120,7 +211,7 @@ def normalized(value: Column, normalizer: Normalizer = Normalizer()) -> Column:
     """The whole text through a normalizer."""
     if normalizer.form is None and normalizer.case != "fold":
         return F.lower(value) if normalizer.case else value
-    return Analyzer((normalizer,))._mapped("string")(value)
+    return Analyzer((normalizer,)).mapped(value)
 
 
 def needs_normalize(value: Column, normalizer: Normalizer = Normalizer()) -> Column:

@@ -8,8 +8,9 @@ they are cast back at once.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import ClassVar, Protocol
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ def sat(x: Column) -> Column:
     return F.when(F.isnan(x), f32(0.0)).otherwise(F.least(F.greatest(x, f32(-FLOAT_MAX)), f32(FLOAT_MAX)))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used; generated code stays small."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def checked(score: float) -> float:
     """A score given by the caller; only finite ones are scores."""
     if not math.isfinite(score):
@@ -90,4 +96,32 @@ def combined(first: Column, first_weight: float, second: Column, second_weight:
     return F.when(first.isNotNull() & second.isNotNull(), sat(a + b)).when(first.isNotNull(), a).when(second.isNotNull(), b)
 
 
-Scorer = BM25 | BM25F
+class Scorer(Protocol):
+    """What a search takes as a scorer: an object with a name and a score of one posting, null for none.
+
+    Counts are those of the posting and its field; ``avg`` is the field's
+    average length, ``n`` the number of documents and ``df`` how many of them
+    have the term there. A true ``by_fields`` asks for ``score_fields`` as well
+    (see :class:`BM25F`); without the attribute it is false.
+    """
+
+    name: str
+
+    def score(self, tf: Column, length: Column, avg: Column, n: Column, df: Column) -> Column: ...
+
+
+@dataclass(frozen=True)
+class Combined:
+    """Two scorers by weight, a posting at a time; nest it for more. A side that scores 0 or nothing is left out."""
+
+    first: Scorer
+    first_weight: float
+    second: Scorer
+    second_weight: float
+
+    name: ClassVar[str] = "combined"
+    by_fields: ClassVar[bool] = False
+
+    def score(self, tf: Column, length: Column, avg: Column, n: Column, df: Column) -> Column:
+        both = F.struct(*(x.score(tf, length, avg, n, df).alias(side) for x, side in ((self.first, "a"), (self.second, "b"))))
+        return once(both, lambda s: combined(some(s["a"]), self.first_weight, some(s["b"]), self.second_weight))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlex.errors import MissingScorer
-from lumenlex.functions.scoring import BM25, BM25F
-from lumenlex.operators.search import match
+from lumenlex.functions.scoring import BM25, Scorer
+from lumenlex.operators.search import Compiled, compiled, match
 from lumenlex.plans.query import Node
 from lumenlex.sources.index import Index
 from lumenlex.storage import materialize
@@ -49,7 +49,7 @@ class Count:
         return matches.agg(F.count("*").alias("matches"))
 
 
-def run(index: Index, query: Node | str, collectors: Sequence[Collector], scorer: BM25 | BM25F | None = BM25(), **options: object) -> list[DataFrame]:
+def run(index: Index, query: Node | str | Compiled, collectors: Sequence[Collector], scorer: Scorer | None = BM25(), **options: object) -> list[DataFrame]:
     """One result for each collector, over one evaluation of the query."""
     scores = any(c.needs_scores for c in collectors)
     if scores and scorer is None:
@@ -60,23 +60,17 @@ def run(index: Index, query: Node | str, collectors: Sequence[Collector], scorer
     return [c.collect(matches) for c in collectors]
 
 
-def search(index: Index, query: Node | str, limit: int = 10, scorer: BM25 | BM25F = BM25(), **options: object) -> DataFrame:
+def search(index: Index, query: Node | str | Compiled, limit: int = 10, scorer: Scorer = BM25(), **options: object) -> DataFrame:
     """The best matches of a query."""
     return run(index, query, [TopK(limit)], scorer, **options)[0]
 
 
-def count(index: Index, query: Node | str, **options: object) -> DataFrame:
+def count(index: Index, query: Node | str | Compiled, **options: object) -> DataFrame:
     return run(index, query, [Count()], None, **options)[0]
 
 
-def statistics(index: Index, query: Node | str, limit: int, scorer: BM25 | BM25F | None = BM25(), **options: object) -> dict[str, int]:
+def statistics(index: Index, query: Node | str | Compiled, limit: int, scorer: Scorer | None = BM25(), **options: object) -> dict[str, int]:
     """Counters of an execution: postings that were scored, blocks skipped (none: no block is pruned), hits collected."""
-    from lumenlex.operators.search import Compiled, _postings, expression
-    from lumenlex.plans.query import Term
-
-    plan = Compiled(index, {}, None)
-    for n in expression(query, index).walk():
-        if isinstance(n, Term):
-            plan.parts(n)
-    scored = _postings(plan).count() if scorer is not None and plan.terms else 0
-    return {"scored_postings": scored, "skipped_blocks": 0, "collected_hits": match(index, query, scorer, **options).limit(limit).count()}
+    plan = query if isinstance(query, Compiled) else compiled(index, query)
+    scored = sum(plan.frequency.values()) if scorer is not None else 0
+    return {"scored_postings": scored, "skipped_blocks": 0, "collected_hits": match(index, plan, scorer, **options).limit(limit).count()}

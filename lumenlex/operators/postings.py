@@ -13,24 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlex.operators.numbering import numbered
+from lumenlex.operators.numbering import numbered, numbered_within
 from lumenlex.storage import materialize
 
 BLOCK = 2
 
 
-def term_dictionary(postings: DataFrame) -> DataFrame:
-    """(field_id, term, term_id, doc_freq); ids from 0 by the first document that has a term, then field, then term."""
-    terms = postings.groupBy("field_id", "term").agg(F.count("*").alias("doc_freq"), F.min("doc_id").alias("first"))
-    return numbered(terms, [F.col("first"), F.col("field_id"), F.col("term")], "term_id").select("field_id", "term", F.col("term_id").cast("int").alias("term_id"), "doc_freq")
+def term_dictionary(rows: DataFrame) -> DataFrame:
+    """(field_id, term, term_id, doc_freq) of an index's terms, or of postings; ids from 0 by the first document that has a term, then field, then term."""
+    if "doc_freq" not in rows.columns:
+        rows = rows.groupBy("field_id", "term").agg(F.count("*").alias("doc_freq"), F.min("doc_id").alias("first_doc"))
+    order = [F.col("first_doc"), F.col("field_id"), F.col("term")]
+    return numbered(rows, order, "term_id").select("field_id", "term", F.col("term_id").cast("int").alias("term_id"), "doc_freq")
 
 
 def posting_blocks(postings: DataFrame, size: int = BLOCK) -> DataFrame:
     """Each term's postings in blocks of ``size`` (1 at least) documents: bounds, last document, highest count, least length."""
     size = max(1, size)
-    rows = numbered(postings, [F.col("field_id"), F.col("term"), F.col("doc_id")], "n")
-    firsts = rows.groupBy("field_id", "term").agg(F.min("n").alias("first"))
-    rows = rows.join(firsts, ["field_id", "term"]).withColumn("at", F.col("n") - F.col("first"))
+    rows = numbered_within(postings, ["field_id", "term"], "doc_id", "at")
     blocks = rows.groupBy("field_id", "term", F.floor(F.col("at") / size).cast("int").alias("block")).agg(
         F.min("at").cast("int").alias("start"),
         (F.max("at") + 1).cast("int").alias("end"),

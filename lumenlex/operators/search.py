@@ -2,7 +2,8 @@
 
 The postings of all terms of the expression are read in one pruned scan,
 scored once a posting against a small broadcast table of the terms' constants,
-and grouped once by document.  A document then has one nullable column for each
+and grouped once by document.  Document frequencies are looked up in the stored
+dictionary.  A document then has one nullable column for each
 term, and the expression is a tree of columns: presence for matching, and sums
 in the order of the expression for scores, so that floats add up alike
 everywhere.  Statistics are those of the whole index, never of filtered rows.
@@ -12,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlex.errors import InvalidFieldWeight, MissingFilter, ParseError, UnsupportedFilterPredicate
-from lumenlex.functions.scoring import BM25, BM25F, f32, sat
+from lumenlex.functions.scoring import BM25, BM25F, Scorer, f32, once, sat
 from lumenlex.plans.query import And, Constant, External, Node, Not, Or, Phrase, Term, Where, checked, parse
 from lumenlex.sources.index import Index
 
@@ -35,13 +36,15 @@ def _unit(boost: float) -> bool:
 
 @dataclass
 class Compiled:
-    """An expression over an index: its terms, and for each node how to match and score."""
+    """An expression resolved against an index, which can be run again with other scorers and filters.
+
+    What a run needs of the index is looked up once.
+    """
 
     index: Index
-    filters: Mapping[int, Filter]
-    attributes: DataFrame | None
+    node: Node
     terms: dict[tuple[int, str], int] = field(default_factory=dict)
-    groups: list[tuple[int, ...]] = field(default_factory=list)  # terms whose documents are counted together
+    groups: list[tuple[int, ...]] = field(default_factory=list)  # terms of one text in several fields
 
     def term(self, field_id: int, text: str) -> int | None:
         """Number of a term; None unless the text is exactly one term for the field's analyzer."""
@@ -58,40 +61,76 @@ class Compiled:
                 raise ParseError("there is no field to search")
         return [(f, t) for f in wanted if (t := self.term(f, node.text)) is not None]
 
-
-def expression(query: Node | str, index: Index, filters: Mapping[int, Filter] | None = None) -> Node:
-    """A parsed query within its limits; filters wrap it in order of their slots."""
-    node = checked(parse(query) if isinstance(query, str) else query, len(index.default_fields))
-    for slot in filters or {}:
-        if not any(isinstance(n, External) and n.slot == slot for n in node.walk()):
-            node = External((node,), slot)
-    return node
+    def _wanted(self) -> Column:
+        by_field: dict[int, list[str]] = {}
+        for f, t in self.terms:
+            by_field.setdefault(f, []).append(t)
+        return reduce(lambda a, b: a | b, ((F.col("field_id") == f) & F.col("term").isin(ts) for f, ts in by_field.items()), F.lit(False))
+
+    def postings(self) -> DataFrame:
+        """Postings of the terms, with the number of each; the term table has at most as many rows as a query has nodes."""
+        rows = [(f, t, i, self.index.average_length(f)) for (f, t), i in self.terms.items()]
+        table = self.index.spark.createDataFrame(rows, "field_id int, term string, place int, avg double")
+        return self.index.postings.where(self._wanted()).join(F.broadcast(table), ["field_id", "term"])
+
+    @cached_property
+    def frequency(self) -> dict[int, int]:
+        """How many documents each term has; a look into the dictionary."""
+        if not self.terms:
+            return {}
+        return {self.terms[r.field_id, r.term]: r.doc_freq for r in self.index.terms.where(self._wanted()).collect()}
+
+    @cached_property
+    def spread(self) -> dict[tuple[int, ...], int]:
+        """How many documents have a term in any field, for all such terms at once."""
+        several = sorted({tuple(sorted(g)) for g in self.groups})
+        if not several:
+            return {}
+        of = self.index.spark.createDataFrame([(p, i) for i, g in enumerate(several) for p in g], "place int, g int")
+        counts = self.postings().join(F.broadcast(of), "place").groupBy("g").agg(F.count_distinct("doc_id").alias("n")).collect()
+        return {several[r.g]: r.n for r in counts}
+
+
+def expression(query: Node | str, index: Index) -> Node:
+    """A parsed query within its limits."""
+    return checked(parse(query) if isinstance(query, str) else query, len(index.default_fields))
+
+
+def compiled(index: Index, query: Node | str) -> Compiled:
+    """A query planned once, for :func:`match` and the collectors."""
+    plan = Compiled(index, expression(query, index))
+    for n in plan.node.walk():
+        if isinstance(n, Phrase):
+            raise NotImplementedError("phrases can be described, not searched")
+        if isinstance(n, Term):
+            parts = plan.parts(n)
+            if n.field is None and len(index.default_fields) > 1 and parts:
+                plan.groups.append(tuple(t for _, t in parts))
+    return plan
 
 
-def match(index: Index, query: Node | str, scorer: BM25 | BM25F | None = BM25(), filters: Mapping[int, Filter] | None = None, attributes: DataFrame | None = None, default_boost: float = 1.0) -> DataFrame:
+def match(index: Index, query: Node | str | Compiled, scorer: Scorer | None = BM25(), filters: Mapping[int, Filter] | None = None, attributes: DataFrame | None = None, default_boost: float = 1.0) -> DataFrame:
     """(doc_id, score) of all matches; without a scorer, doc_id alone.
 
-    ``attributes`` (doc_id and columns) lets structured predicates be evaluated.
+    A document matches by its terms, whatever the scorer gives it; filters that
+    the expression does not name wrap it in order of their slots. ``attributes``
+    (doc_id and columns) lets structured predicates be evaluated.
     """
-    node = expression(query, index, filters)
-    plan = Compiled(index, filters or {}, attributes)
-    weights = dict(getattr(scorer, "weights", {}))
-    for f, w in weights.items():
+    plan = query if isinstance(query, Compiled) else compiled(index, query)
+    node, filters = plan.node, filters or {}
+    for slot in filters:
+        if not any(isinstance(n, External) and n.slot == slot for n in node.walk()):
+            node = External((node,), slot)
+    for f, w in dict(getattr(scorer, "weights", {})).items():
         if not (w >= 0 and w != float("inf")):
             raise InvalidFieldWeight(f, w)
     for n in node.walk():
-        if isinstance(n, Phrase):
-            raise NotImplementedError("phrases can be described, not searched")
         if isinstance(n, Where) and attributes is None:
             raise UnsupportedFilterPredicate("pass attributes to evaluate structured predicates")
-        if isinstance(n, External) and n.slot not in plan.filters:
+        if isinstance(n, External) and n.slot not in filters:
             raise MissingFilter(n.slot)
-        if isinstance(n, Term):
-            parts = plan.parts(n)
-            if scorer is not None and scorer.by_fields and n.field is None and len(index.default_fields) > 1:
-                plan.groups.append(tuple(t for _, t in parts))
     docs = _documents(plan, node, scorer)
-    for slot, f in plan.filters.items():
+    for slot, f in filters.items():
         flag = f"accept_{slot}"
         if callable(f) and not isinstance(f, DataFrame):
             docs = docs.withColumn(flag, F.coalesce(f(F.col("doc_id")), F.lit(False)))
@@ -111,32 +150,24 @@ def match(index: Index, query: Node | str, scorer: BM25 | BM25F | None = BM25(),
     return docs.select("doc_id", score.alias("score"))
 
 
-def _postings(plan: Compiled) -> DataFrame:
-    """Postings of the expression's terms, with the number of each; the term table has at most as many rows as a query has nodes."""
-    index = plan.index
-    by_field: dict[int, list[str]] = {}
-    for f, t in plan.terms:
-        by_field.setdefault(f, []).append(t)
-    wanted = reduce(lambda a, b: a | b, ((F.col("field_id") == f) & F.col("term").isin(ts) for f, ts in by_field.items()), F.lit(False))
-    rows = [(f, t, i, index.average_length(f)) for (f, t), i in plan.terms.items()]
-    table = index.spark.createDataFrame(rows, "field_id int, term string, place int, avg double")
-    return index.postings.where(wanted).join(F.broadcast(table), ["field_id", "term"])
+def by_fields(scorer: Scorer | None) -> bool:
+    return bool(getattr(scorer, "by_fields", False))
 
 
-def _documents(plan: Compiled, node: Node, scorer: BM25 | BM25F | None) -> DataFrame:
-    """A row for each document that may match, with what its terms score."""
+def _documents(plan: Compiled, node: Node, scorer: Scorer | None) -> DataFrame:
+    """A row for each document that may match, with the counts of its terms and what they score."""
     index = plan.index
     everything = index.documents.select("doc_id")
     if not plan.terms:
         return everything if _when_absent(node) else everything.where(F.lit(False))
-    hits = _postings(plan)
-    if scorer is None:
-        hits = hits.select("doc_id", "place", F.lit(0.0).cast("float").alias("score"), F.lit(0).alias("tf"))
-    else:
-        frequency = dict(hits.groupBy("place").count().collect())
-        counts = F.element_at(F.create_map(*(x for p in plan.terms.values() for x in (F.lit(p), F.lit(frequency.get(p, 0))))), F.col("place"))
-        score = BM25(scorer.k1, scorer.b).score(F.col("term_freq"), F.col("doc_len"), F.col("avg"), F.lit(index.doc_count), counts)
-        hits = hits.select("doc_id", "place", score.alias("score"), F.col("term_freq").alias("tf"))
+    hits = plan.postings()
+    score = f32(F.lit(None))
+    if scorer is not None:
+        counts = F.element_at(F.create_map(*(x for p in plan.terms.values() for x in (F.lit(p), F.lit(plan.frequency.get(p, 0))))), F.col("place"))
+        score = scorer.score(F.col("term_freq"), F.col("doc_len"), F.col("avg"), F.lit(index.doc_count), counts)
+        if not isinstance(scorer, BM25):  # of which all scores are finite
+            score = once(f32(score), lambda s: F.when(s.isNotNull(), sat(s)))
+    hits = hits.select("doc_id", "place", score.alias("score"), F.col("term_freq").alias("tf"))
     if len(plan.terms) <= PIVOT:
         columns = [F.max(F.when(F.col("place") == p, F.col(c))).alias(f"{c}_{p}") for p in plan.terms.values() for c in ("score", "tf")]
         docs = hits.groupBy("doc_id").agg(*columns)
@@ -144,7 +175,7 @@ def _documents(plan: Compiled, node: Node, scorer: BM25 | BM25F | None) -> DataF
         found = F.map_from_entries(F.collect_list(F.struct("place", F.struct("score", "tf"))))
         docs = hits.groupBy("doc_id").agg(found.alias("by_place"))
         docs = docs.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(len(plan.terms) - 1)), lambda i: F.try_element_at("by_place", i)).alias("found"))
-    if plan.groups and scorer is not None:
+    if plan.groups and by_fields(scorer):
         docs = docs.join(index.documents, "doc_id")
     return everything.join(docs, "doc_id", "left") if _when_absent(node) else docs
 
@@ -159,7 +190,7 @@ def _when_absent(node: Node) -> bool:
     return any(kids)
 
 
-def _column(plan: Compiled, node: Node, scorer: BM25 | BM25F | None, places: dict[int, str], default_boost: float) -> tuple[Column, Column | None]:
+def _column(plan: Compiled, node: Node, scorer: Scorer | None, places: dict[int, str], default_boost: float) -> tuple[Column, Column | None]:
     """Whether the document matches the node, and its score there; null or None for none, as for all that do not match."""
     wide = len(plan.terms) > PIVOT
 
@@ -184,13 +215,13 @@ def _column(plan: Compiled, node: Node, scorer: BM25 | BM25F | None, places: dic
         parts = plan.parts(node)
         if not parts:
             return F.lit(False), None
-        matched = reduce(lambda a, b: a | b, (cell("score", t).isNotNull() for _, t in parts))
+        matched = reduce(lambda a, b: a | b, (cell("tf", t).isNotNull() for _, t in parts))
         if scorer is None:
             return matched, None
         by = node.boost * default_boost
         fields = plan.index.default_fields
         alike = len({text for (f, text), t in plan.terms.items() if t in {p for _, p in parts}}) == 1
-        if scorer.by_fields and node.field is None and len(fields) > 1 and alike:
+        if by_fields(scorer) and node.field is None and len(fields) > 1 and alike:
             return matched, F.when(matched, boost(_by_fields(plan, scorer, dict(parts), cell), by))
         return matched, total([boost(cell("score", t), by) for _, t in parts])
 
@@ -214,8 +245,7 @@ def _by_fields(plan: Compiled, scorer: BM25F, parts: dict[int, int], cell: Calla
     """One score over all searched fields of a document that has the term in any."""
     index = plan.index
     fields = index.default_fields
-    group = sorted(parts.values())
-    df = _postings(plan).where(F.col("place").isin(group)).agg(F.count_distinct("doc_id")).first()[0]
+    df = plan.spread.get(tuple(sorted(parts.values())), 0)
     average = reduce(lambda a, b: a + b, (f32(index.average_length(f)) for f in fields), f32(0.0))
     counted = [(f, F.coalesce(cell("tf", parts[f]), F.lit(0)) if f in parts else F.lit(0), F.coalesce(F.try_element_at("lengths", F.lit(f)), F.lit(0))) for f in fields]
     return scorer.score_fields(counted, average, F.lit(index.doc_count), F.lit(df))

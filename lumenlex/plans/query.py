@@ -1,7 +1,7 @@
 """Search expressions, and the short text form of them.
 
 ``a b`` means all of them, ``AND`` binds closer than ``OR``, ``NOT`` is a
-prefix, ``field:term`` names a field.  There are no brackets or quotes: richer
+prefix, ``field:term`` names a field.  White space is that of the analyzers.  There are no brackets or quotes: richer
 expressions are put together in Python with ``&``, ``|`` and ``~``.
 """
 
@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from typing import ClassVar
 
 from lumenlex.errors import MaxDepthExceeded, MaxNodesExceeded, ParseError
+from lumenlex.functions.analysis import trimmed, words
 
 MAX_DEPTH, MAX_NODES, NODE_CAP = 32, 1024, 65535
 
@@ -109,15 +110,15 @@ def parse(text: str) -> Node:
         field, colon, value = part.partition(":")
         if not colon:
             field, value = None, part
-        words = value.split()
-        if not value or field is not None and len(words) > 1:
+        several = words(value)
+        if not value or field is not None and len(several) > 1:
             raise ParseError(text)
-        return Term(value, field) if len(words) < 2 else And(tuple(map(Term, words)))
+        return Term(value, field) if len(several) < 2 else And(tuple(map(Term, several)))
 
     def unary(part: str) -> Node:
-        nots, part = 0, part.strip()
+        nots, part = 0, trimmed(part)
         while part.startswith("NOT "):
-            nots, part = nots + 1, part[4:].strip()
+            nots, part = nots + 1, trimmed(part[4:])
         if not part:
             raise ParseError(text)
         node = term(part)
@@ -126,10 +127,10 @@ def parse(text: str) -> Node:
         return node
 
     def conjunction(part: str) -> Node:
-        parts = part.strip().split(" AND ")
+        parts = trimmed(part).split(" AND ")
         return unary(parts[0]) if len(parts) == 1 else And(tuple(map(unary, parts)))
 
-    parts = text.strip().split(" OR ")
+    parts = trimmed(text).split(" OR ")
     return conjunction(parts[0]) if len(parts) == 1 else Or(tuple(map(conjunction, parts)))
 
 

@@ -8,17 +8,18 @@ by role (1 user, 2 assistant).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlex.functions import analysis, scoring
-from lumenlex.functions.analysis import Analyzer, Normalizer
-from lumenlex.functions.scoring import BM25, BM25F
+from lumenlex.functions.analysis import Analyzer, Normalizer, Tokenizer
+from lumenlex.functions.scoring import BM25, BM25F, Combined
 from lumenlex.operators import collect, fusion, postings
 from lumenlex.operators.predicates import AllOf, Eq, Range
-from lumenlex.operators.search import match
+from lumenlex.operators.search import compiled, match
 from lumenlex.plans.query import Constant, Or, Term, Where, parse
 from lumenlex.sources.index import Field, Index, build_index, field_values, open_index
 
@@ -93,6 +94,13 @@ def normalize_nfkc_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(analyzer.column(F.col("text"))).alias("position", "term"))
 
 
+def custom_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of ASCII letters as tokens, lower-cased."""
+    letters = Tokenizer(lambda text: F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda text: re.findall("[A-Za-z]+", text))
+    terms = Analyzer((Normalizer(None, "lower"),), letters).column(F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(terms).alias("position", "term"))
+
+
 def build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).postings.select("field_id", "term", "doc_id", "term_freq", "doc_len")
 
@@ -110,7 +118,7 @@ def repeated_field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.term_dictionary(index(spark, sf_dir).postings)
+    return postings.term_dictionary(index(spark, sf_dir).terms)
 
 
 def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +134,9 @@ def posting_list_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cursor_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From each of the corpus's 100s on, the first document with "the" in its body."""
+    """From each document on, the first one with "the" in its body."""
     i = index(spark, sf_dir)
-    targets = i.documents.where(F.col("doc_id") % 100 == 50).select(F.lit(2).alias("field_id"), F.lit("the").alias("term"), F.col("doc_id").alias("target"))
+    targets = i.documents.select(F.lit(2).alias("field_id"), F.lit("the").alias("term"), F.col("doc_id").alias("target"))
     return postings.seek(i.postings, targets)
 
 
@@ -168,6 +176,14 @@ def combined_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", score.alias("score"))
 
 
+def planned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan, run with two scorers."""
+    i = index(spark, sf_dir)
+    plan = compiled(i, "body:the AND body:of")
+    runs = [collect.search(i, plan, 10, s).withColumn("run", F.lit(n)) for n, s in enumerate((BM25(), BM25(2.0, 0.5)))]
+    return runs[0].union(runs[1])
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(_ranked(spark, sf_dir))
 
@@ -181,9 +197,10 @@ def rrf_custom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_structured_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opt-in: a predicate over labels as attributes."""
-    query = Where((parse("the"),), AllOf((Eq("quality", 1), Range("doc_id", 10, 900))))
-    return collect.search(index(spark, sf_dir), query, 10, attributes=table(spark, sf_dir, "labels"))
+    """The opt-in: a predicate over labels and lengths as attributes."""
+    query = Where((parse("the"),), AllOf((Eq("quality", 1), Range("n_chars", 500, 4000))))
+    attributes = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return collect.search(index(spark, sf_dir), query, 10, attributes=attributes)
 
 
 def search_wide_or(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +211,8 @@ def search_wide_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize_positions, normalize_nfc_lower, normalize_nfkc_fold, build_postings, field_stats, field_lengths, repeated_field_merge, term_dictionary,
-        posting_blocks, posting_list_last_wins, cursor_seek, term_lookup, segment_roundtrip, count_matches, topk_and_count, all_matches, combined_scorer,
+        tokenize_positions, normalize_nfc_lower, normalize_nfkc_fold, custom_tokenizer, build_postings, field_stats, field_lengths, repeated_field_merge, term_dictionary,
+        posting_blocks, posting_list_last_wins, cursor_seek, term_lookup, segment_roundtrip, count_matches, topk_and_count, all_matches, combined_scorer, planned_once,
         rrf_fusion, rrf_dedup, rrf_custom_k, search_structured_filter, search_wide_or,
     )
 }
@@ -217,10 +234,11 @@ QUERIES |= {
     "search_bm25f_fielded": _search("title:the OR body:of", scorer=BM25F(weights=WEIGHTS)),
     "search_bm25f_and": _search("the AND of", scorer=BM25F(weights=WEIGHTS)),
     "bm25_custom_params": _search("body:the", scorer=BM25(2.0, 0.5)),
+    "search_combined": _search("body:the OR title:of", scorer=Combined(BM25(), 0.7, BM25(2.0, 0.5), 0.3)),
     "boosted_terms": _search(lambda: Or((Term("the", "body", 2.5), Term("of", "body")), boost=0.5)),
     "constant_score": _search(lambda: Constant((parse("body:the"),), 7.5)),
     "external_filter": _search("body:the", filters=lambda s, d: {0: _labelled("quality = 1")(s, d)}),
-    "external_filter_chain": _search("body:the", filters=lambda s, d: {0: _labelled("quality = 1")(s, d), 1: lambda doc_id: doc_id % 2 == 0}),
+    "external_filter_chain": _search("body:the", filters=lambda s, d: {0: _labelled("quality = 1")(s, d), 1: _labelled("toxic = 0")(s, d)}),
     "topk_tie_break": _search("title:red OR body:economy", "part", limit=25),
     "search_merged_fields": _search("the", "chat"),
 }
@@ -334,7 +352,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT term, doc_id, turn, count(*) AS term_freq FROM t WHERE term <> '' GROUP BY ALL)
         SELECT term, doc_id, term_freq FROM c QUALIFY row_number() OVER (PARTITION BY term, doc_id ORDER BY turn DESC) = 1""",
     "cursor_seek": _base()
-    + """, g AS (SELECT doc_id AS target FROM d WHERE doc_id % 100 = 50), m AS (SELECT target, min(doc_id) AS doc_id FROM g LEFT JOIN (SELECT doc_id FROM p WHERE f = 2 AND term = 'the') h ON h.doc_id >= target GROUP BY target)
+    + """, g AS (SELECT doc_id AS target FROM d), m AS (SELECT target, min(doc_id) AS doc_id FROM g LEFT JOIN (SELECT doc_id FROM p WHERE f = 2 AND term = 'the') h ON h.doc_id >= target GROUP BY target)
         SELECT 2 AS field_id, 'the' AS term, target, m.doc_id, coalesce(tf, 0)::INT AS term_freq FROM m LEFT JOIN p ON p.doc_id = m.doc_id AND f = 2 AND term = 'the'""",
     "term_lookup": _base() + " SELECT doc_id, tf::INT AS term_freq, len::INT AS doc_len FROM s WHERE f = 2 AND term = 'the'",
     "segment_roundtrip": _base() + " SELECT (SELECT count(*) FROM d)::INT AS documents, (SELECT count(*) FROM (SELECT DISTINCT f, term FROM p)) AS terms, (SELECT count(*) FROM a)::INT AS fields",
@@ -342,10 +360,12 @@ ORACLES: dict[str, str] = {
     "topk_and_count": f"SELECT *, (SELECT count(*) FROM ({_sql(_BOTH_THE | _BOTH_OF, '(a1 IS NOT NULL OR a2 IS NOT NULL) AND (b1 IS NOT NULL OR b2 IS NOT NULL)', '0', 1 << 40)})) AS matches FROM ({_sql(_BOTH_THE | _BOTH_OF, '(a1 IS NOT NULL OR a2 IS NOT NULL) AND (b1 IS NOT NULL OR b2 IS NOT NULL)', _sum('a1', 'a2') + ' + ' + _sum('b1', 'b2'), 5)})",
     "all_matches": _sql({"a": (1, "the"), "b1": (1, "in"), "b2": (2, "in"), "c1": (1, "to"), "c2": (2, "to")}, "a IS NOT NULL OR (coalesce(b1, b2) IS NOT NULL AND coalesce(c1, c2) IS NULL)", "coalesce(a, 0::FLOAT) + CASE WHEN coalesce(c1, c2) IS NULL THEN " + _sum("b1", "b2") + " ELSE 0::FLOAT END", 1 << 40),
     "combined_scorer": _base() + f""" SELECT doc_id, (score * 0.7::FLOAT) + (({_bm25('tf::FLOAT', 'len::FLOAT', 'avg', 'df::FLOAT', 2.0, 0.5)}) * 0.3::FLOAT) AS score FROM s JOIN a USING (f), n, (SELECT count(*) AS df FROM p WHERE f = 2 AND term = 'the') WHERE f = 2 AND term = 'the'""",
+    "custom_tokenizer": "WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_type), '[a-z]+') AS a FROM part) SELECT p_partkey, (generate_subscripts(a, 1) - 1)::INT AS position, unnest(a) AS term FROM t",
+    "planned_once": " UNION ALL ".join(f"SELECT *, {i} AS run FROM ({_sql({'a': _THE, 'b': _OF}, _has('a', 'b'), _sum('a', 'b'), k1=k1, b=b)})" for i, (k1, b) in enumerate(((1.2, 0.75), (2.0, 0.5)))),
     "rrf_fusion": _fused(),
     "rrf_dedup": _fused(repeat=True),
     "rrf_custom_k": _fused(10.0),
-    "search_structured_filter": _sql(_BOTH_THE, "coalesce(a1, a2) IS NOT NULL", _sum("a1", "a2"), where=_QUALITY + " AND doc_id BETWEEN 10 AND 900"),
+    "search_structured_filter": _sql(_BOTH_THE, "coalesce(a1, a2) IS NOT NULL", _sum("a1", "a2"), where=_QUALITY + " AND doc_id IN (SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 4000)"),
     "search_wide_or": _sql({f"w{i}": (2, w) for i, w in enumerate(WIDE)}, _has(*(f"w{i}" for i in range(len(WIDE))), op=" OR "), _sum(*(f"w{i}" for i in range(len(WIDE))))),
     "search_bm25_term": _sql({"a": _THE}, _has("a"), "a"),
     "search_bm25_fielded": _sql({"a": (1, "the")}, _has("a"), "a"),
@@ -364,10 +384,16 @@ ORACLES: dict[str, str] = {
     "search_bm25f_fielded": _sql({"a": (1, "the"), "b": _OF}, _has("a", "b", op=" OR "), _sum("a", "b")),
     "search_bm25f_and": _by_fields({"a": "the", "b": "of"}, _has("a", "b"), WEIGHTS),
     "bm25_custom_params": _sql({"a": _THE}, _has("a"), "a", k1=2.0, b=0.5),
+    "search_combined": _base()
+    + f""", m AS (SELECT doc_id, f, term, (score * 0.7::FLOAT) + (({_bm25('tf::FLOAT', 'len::FLOAT', 'avg', 'df::FLOAT', 2.0, 0.5)}) * 0.3::FLOAT) AS c
+            FROM s JOIN a USING (f) JOIN (SELECT f, term, count(*) AS df FROM p GROUP BY ALL) USING (f, term), n WHERE (f = 2 AND term = 'the') OR (f = 1 AND term = 'of'))
+        SELECT doc_id, (coalesce(x.c, 0::FLOAT) + coalesce(y.c, 0::FLOAT))::FLOAT AS score
+        FROM d LEFT JOIN (SELECT doc_id, c FROM m WHERE f = 2) x USING (doc_id) LEFT JOIN (SELECT doc_id, c FROM m WHERE f = 1) y USING (doc_id)
+        WHERE x.c IS NOT NULL OR y.c IS NOT NULL ORDER BY score DESC, doc_id DESC LIMIT 10""",
     "boosted_terms": _sql({"a": _THE, "b": _OF}, _has("a", "b", op=" OR "), "(coalesce(a * 2.5::FLOAT, 0::FLOAT) + coalesce(b, 0::FLOAT)) * 0.5::FLOAT"),
     "constant_score": _sql({"a": _THE}, _has("a"), "7.5"),
     "external_filter": _sql({"a": _THE}, _has("a"), "a", where=_QUALITY),
-    "external_filter_chain": _sql({"a": _THE}, _has("a"), "a", where=_QUALITY + " AND doc_id % 2 = 0"),
+    "external_filter_chain": _sql({"a": _THE}, _has("a"), "a", where=_QUALITY + " AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)"),
     "topk_tie_break": _sql({"a": (1, "red"), "b": (2, "economy")}, _has("a", "b", op=" OR "), _sum("a", "b"), 25, "part"),
     "search_merged_fields": _sql(_BOTH_THE, _has("a1", "a2", op=" OR "), _sum("a1", "a2"), name="chat"),
 }

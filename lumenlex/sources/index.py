@@ -1,7 +1,8 @@
 """Building, storing and opening an inverted index.
 
-An index is three tables: ``postings`` (field_id, term, doc_id, term_freq,
-doc_len), laid out by term so that Parquet prunes to a query's terms;
+An index is four tables: ``postings`` (field_id, term, doc_id, term_freq,
+doc_len), laid out by term so that Parquet prunes to a query's terms; ``terms``
+(field_id, term, doc_freq, first_doc), the dictionary, laid out alike;
 ``documents`` (doc_id, lengths), the universe with each field's length; and
 ``stats`` (field_id, doc_count, total_terms).
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.errors import DuplicateDocument, MissingAnalyzer, StoredIndexError, UnknownField
-from lumenlex.functions.analysis import MAX_FIELDS, Analyzer, split
+from lumenlex.functions.analysis import MAX_FIELDS, Analyzer, Tokenizer
 from lumenlex.storage import fresh_path
 
 
@@ -47,10 +48,10 @@ def field_values(docs: DataFrame, key: str, values: Mapping[int, Column | str])
 
 
 class Index:
-    def __init__(self, fields: Sequence[Field], postings: DataFrame, documents: DataFrame, stats: DataFrame, path: str):
+    def __init__(self, fields: Sequence[Field], postings: DataFrame, terms: DataFrame, documents: DataFrame, stats: DataFrame, path: str):
         self.fields = {f.id: f for f in fields}
         self.names = {f.name: f.id for f in fields if f.name is not None}  # of fields with one name the last has it
-        self.postings, self.documents, self.stats, self.path = postings, documents, stats, path
+        self.postings, self.terms, self.documents, self.stats, self.path = postings, terms, documents, stats, path
         rows = stats.orderBy("field_id").collect()  # a row for each field
         self.field_stats = {r.field_id: (r.doc_count, r.total_terms) for r in rows if r.field_id is not None}
         self.doc_count = next((r.doc_count for r in rows if r.field_id is None), 0)
@@ -88,12 +89,12 @@ class Index:
         return self.documents.select("doc_id", F.explode("lengths").alias("field_id", "length"))
 
 
-def build_index(values: DataFrame, fields: Sequence[Field], path: str | None = None, spread: int = 1) -> Index:
+def build_index(values: DataFrame, fields: Sequence[Field], path: str | None = None) -> Index:
     """An index of (doc_id, field_id, value) rows, written to ``path`` or the shared folder.
 
     Null values are absent fields and empty ones have length 0; values that
-    repeat a document's field are merged.  ``spread`` deals the postings of each
-    term over so many partitions, for terms that a large share of a large corpus has.
+    repeat a document's field are merged.  The postings of a term that a large
+    share of the corpus has are split over several partitions and files.
     """
     spark = values.sparkSession
     path = path or fresh_path(spark, "index")
@@ -104,7 +105,11 @@ def build_index(values: DataFrame, fields: Sequence[Field], path: str | None = N
             raise MissingAnalyzer(r.field_id)
 
     present = F.col("value").isNotNull()
-    cells = values.groupBy("doc_id", "field_id").agg(F.count_if(present).alias("rows"), F.sum(F.when(present, F.size(split(F.col("value")))).otherwise(0)).cast("int").alias("length"))
+    tokenizers: dict[Tokenizer, list[int]] = {}
+    for f in fields:
+        tokenizers.setdefault(f.analyzer.tokenizer, []).append(f.id)
+    size = F.coalesce(*(F.when(F.col("field_id").isin(ids), F.size(t.column(F.col("value")))) for t, ids in tokenizers.items()))
+    cells = values.groupBy("doc_id", "field_id").agg(F.count_if(present).alias("rows"), F.sum(F.when(present, size).otherwise(0)).cast("int").alias("length"))
     here = F.filter(F.collect_list(F.struct("field_id", "length", "rows")), lambda x: x["rows"] > 0)
     documents = cells.groupBy("doc_id").agg(F.map_from_entries(F.transform(here, lambda x: F.struct(x["field_id"], x["length"]))).alias("lengths"), (F.max("rows") > 1).alias("merged"))
     documents.write.parquet(f"{path}/documents")
@@ -126,9 +131,11 @@ def build_index(values: DataFrame, fields: Sequence[Field], path: str | None = N
         postings = postings.join(lengths, ["doc_id", "field_id"])
     else:
         postings = words.groupBy("field_id", "term", "doc_id", "doc_len").agg(F.count("*").cast("int").alias("term_freq"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = postings.repartition(parts, "field_id", "term", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).sortWithinPartitions("field_id", "term", "doc_id")
+    # Adaptive execution splits a partition that a frequent term makes too large, and joins small ones.
+    laid = postings.hint("rebalance", F.col("field_id"), F.col("term")).sortWithinPartitions("field_id", "term", "doc_id")
     laid.select("field_id", "term", "doc_id", "term_freq", "doc_len").write.parquet(f"{path}/postings")
+    terms = spark.read.parquet(f"{path}/postings").groupBy("field_id", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.min("doc_id").alias("first_doc"))
+    terms.sortWithinPartitions("field_id", "term").write.parquet(f"{path}/terms")
 
     per_field = documents.select(F.explode("lengths").alias("field_id", "length")).groupBy("field_id").agg(F.count("*").alias("doc_count"), F.sum("length").alias("total_terms"))
     whole = documents.agg(F.lit(None).cast("int").alias("field_id"), F.count("*").alias("doc_count"), F.lit(0).cast("long").alias("total_terms"))
@@ -142,14 +149,14 @@ def open_index(spark: SparkSession, path: str, fields: Sequence[Field], verify:
     Raises StoredIndexError if a table or column is missing, and, with
     ``verify``, if the tables' totals do not agree.
     """
-    wanted = {"postings": "field_id term doc_id term_freq doc_len", "documents": "doc_id lengths", "stats": "field_id doc_count total_terms"}
+    wanted = {"postings": "field_id term doc_id term_freq doc_len", "terms": "field_id term doc_freq first_doc", "documents": "doc_id lengths", "stats": "field_id doc_count total_terms"}
     tables = {}
     for name, columns in wanted.items():
         try:
             tables[name] = spark.read.parquet(f"{path}/{name}").select(*columns.split())
         except AnalysisException as e:
             raise StoredIndexError(f"{path}/{name}: {e}") from e
-    index = Index(fields, tables["postings"], tables["documents"], tables["stats"], path)
+    index = Index(fields, tables["postings"], tables["terms"], tables["documents"], tables["stats"], path)
     if missing := set(index.field_stats) - set(index.fields):
         raise MissingAnalyzer(min(missing))
     if verify:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlex.functions.analysis import Analyzer, Normalizer, needs_normalize, normalized, split, tokens
+from lumenlex.functions.analysis import Analyzer, Normalizer, needs_normalize, normalized, split, tokens, words
 
 POOL = ["CAFÉ", "café", "ΣΠΊΤΙ", "Straße", "ΟΣ", "ﬁne", "x²", "İ", "a", "the.", "Å", "가"]
 SPACES = [" ", "\n", "\t", " ", " ", "　", "\u0085", "  "]
@@ -48,3 +48,22 @@ def test_normalized_columns(spark):
 def test_unknown_steps():
     with pytest.raises(ValueError):
         Normalizer("NFD")
+
+
+def test_tokens_of_many_texts(spark):
+    """Cut a batch at a time, against one text at a time."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts() * 3)], "i int, t string").repartition(2)
+    for r in rows.select("t", tokens(F.col("t")).alias("ts")).collect():
+        if r.t is None:
+            assert r.ts is None
+            continue
+        raw, want = r.t.encode(), words(r.t)
+        assert [t.text for t in r.ts] == want and [t.position for t in r.ts] == list(range(len(want)))
+        assert [raw[t.start : t.end].decode() for t in r.ts] == want and [t.term for t in r.ts] == Analyzer().terms(r.t)
+
+
+def test_ascii_stays_out_of_python(spark):
+    """Texts of ASCII alone are not sent to a worker: the function that would map them gets nulls."""
+    rows = spark.createDataFrame([("Plain TEXT",), ("CAFÉ",), (None,)], "t string")
+    out = rows.select(Analyzer().column(F.col("t")).alias("x"), normalized(F.col("t"), Normalizer("NFKC", "fold")).alias("y")).collect()
+    assert [(r.x, r.y) for r in out] == [(["plain", "text"], "plain text"), (["café"], "café"), (None, None)]

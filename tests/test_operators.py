@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenlex.functions.scoring import FLOAT_MAX, checked, combined, sat, some
 from lumenlex.operators import postings
 from lumenlex.operators.fusion import fuse
-from lumenlex.operators.numbering import numbered
+from lumenlex.operators.numbering import numbered, numbered_within
 
 
 def lists(spark, rows):
@@ -96,6 +96,21 @@ def test_dictionary_and_last_wins(spark):
     assert {(r.term, r.doc_id, r.term_freq) for r in postings.posting_list(puts).collect()} == {("t", 1, 9), ("t", 2, 1)}
 
 
+def test_numbering_inside_groups(spark):
+    """One group has half of the rows."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 7).alias("g"), (F.col("id") * 3 % 3001).alias("k"))
+    seen = {}
+    for r in sorted(numbered_within(rows, ["g"], "k", "n").collect(), key=lambda r: (r.g, r.k)):
+        assert r.n == seen.get(r.g, 0)
+        seen[r.g] = r.n + 1
+    assert sum(seen.values()) == 3000 and numbered_within(rows.limit(0), ["g"], "k", "n").count() == 0
+
+
+def test_offsets_are_the_broadcast_side(spark):
+    plan = numbered(spark.range(1000), [F.desc("id")], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_numbering(spark):
     rows = spark.range(1000).withColumn("k", F.xxhash64("id"))
     out = numbered(rows, [F.desc("k")], "n", start=5).orderBy("n").collect()

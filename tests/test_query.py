@@ -26,6 +26,8 @@ def test_malformed(text):
         ("x:y:z", Term("y:z", "x")),
         (":y", Term("y", "")),
         ("a b:c", Term("c", "a b")),
+        ("a\x1cb", Term("a\x1cb")),
+        ("\u3000a\u2003b\x85", And((Term("a"), Term("b")))),
         ("title: rust", Term(" rust", "title")),
     ],
 )

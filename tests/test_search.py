@@ -1,16 +1,18 @@
 import math
 import random
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenlex.errors import DuplicateDocument, InvalidFieldWeight, MissingAnalyzer, MissingFilter, MissingScorer, ParseError, StoredIndexError, UnknownField, UnsupportedFilterPredicate
-from lumenlex.functions.analysis import Analyzer, Normalizer
-from lumenlex.functions.scoring import BM25, BM25F
+from lumenlex.functions.analysis import Analyzer, Normalizer, Tokenizer
+from lumenlex.functions.scoring import BM25, BM25F, Combined
 from lumenlex.operators import collect
 from lumenlex.operators.predicates import AnyOf, Eq, In, NoneOf, Range
-from lumenlex.operators.search import match
+from lumenlex.operators.search import compiled, match
 from lumenlex.plans.query import Constant, External, Or, Phrase, Term, Where, parse
 from lumenlex.sources.index import Field, build_index, field_values, open_index
 
@@ -244,3 +246,79 @@ def test_scorer_shape(spark):
     assert s[5, 50, 1] > s[5, 50, 30] > s[5, 50, 99]
     dead = spark.range(1).select(*(BM25().score(F.lit(1), F.lit(1), F.lit(a), F.lit(n), F.lit(1)).alias(c) for c, a, n in (("a", 0.0, 1), ("b", math.nan, 1), ("c", math.inf, 1), ("d", 1.0, 0)))).first()
     assert tuple(dead) == (0.0, 0.0, 0.0, 0.0)
+
+
+class Constantly:
+    """A scorer of one's own: no score for documents of one token, else their count over their length."""
+
+    name = "own"
+
+    def score(self, tf, length, avg, n, df):
+        return F.when(length > 1, tf / length)
+
+
+def test_own_scorers(smoke, spark):
+    index = build(spark, [(1, {1: "a"}), (2, {1: "a a b c"}), (3, {1: "b b"})], (Field(1, "t"),))
+    assert hits(collect.search(index, "a OR b", scorer=Constantly())) == [(3, 1.0), (2, 0.75), (1, 0.0)]
+    assert set(ids(match(index, "a", scorer=Constantly()))) == {1, 2}
+
+    class Odd(Constantly):
+        def score(self, tf, length, avg, n, df):
+            return F.when(length > 1, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+
+    assert hits(collect.search(index, "a", scorer=Odd())) == [(2, pytest.approx(3.4028235e38)), (1, 0.0)]
+
+
+def test_combined_scorers(smoke):
+    first, second = BM25(), BM25(2.0, 0.5)
+    one, two, both = (dict(hits(match(smoke, "body:rust OR title:rust", s))) for s in (first, second, Combined(first, 0.7, second, 0.3)))
+    assert both.keys() == one.keys() and all(both[d] == pytest.approx(0.7 * one[d] + 0.3 * two[d], rel=1e-5) for d in one)
+    nested = dict(hits(match(smoke, "body:rust", Combined(Combined(first, 0.5, second, 0.5), 1.0, Constantly(), 2.0))))
+    assert nested[1] == pytest.approx(0.5 * bm25(1, 6, smoke.average_length(2), 4, 2) + 0.5 * bm25(1, 6, smoke.average_length(2), 4, 2, 2.0, 0.5) + 2 / 6, rel=1e-5)
+
+
+def test_a_plan_runs_again(smoke, spark):
+    plan = compiled(smoke, "rust OR title:search")
+    for scorer in (BM25(), BM25(2.0, 0.5), BM25F(weights={1: 2.0}), None):
+        assert sorted(match(smoke, plan, scorer).collect()) == sorted(match(smoke, "rust OR title:search", scorer).collect())
+    some = spark.createDataFrame([(2,), (4,)], "doc_id long")
+    assert ids(collect.search(smoke, plan, filters={0: some})) == [2] and set(ids(collect.search(smoke, plan))) == {1, 2, 3}
+    assert plan.spread == {(0, 1): 2} or set(plan.spread.values()) == {2}
+    assert collect.statistics(smoke, plan, 10)["scored_postings"] == 4
+
+
+def test_own_tokenizers_and_normalizers(spark):
+    letters = Tokenizer(lambda text: F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda text: re.findall("[A-Za-z]+", text))
+
+    @dataclass(frozen=True)
+    class Stem:
+        whole_text = False
+
+        def text(self, value):
+            return value.removesuffix("s")
+
+    fields = (Field(1, "t", Analyzer((Normalizer(), Stem()), letters)), Field(2, "u"))
+    index = build(spark, [(1, {1: "cats,Dogs;bird", 2: "cats,dogs"}), (2, {1: "no-one", 2: "cat"})], fields)
+    assert ids(match(index, "t:cat")) == [1] and ids(match(index, "t:BIRDS")) == [1] and ids(match(index, "u:cat")) == [2]
+    assert index.field_stats == {1: (2, 5), 2: (2, 2)}
+
+
+def test_dictionary_is_stored(smoke, spark, tmp_path):
+    terms = {(r.field_id, r.term): r.doc_freq for r in smoke.terms.collect()}
+    assert terms[2, "rust"] == 2 and terms[1, "rust"] == 1 and len(terms) == smoke.postings.select("field_id", "term").distinct().count()
+    for t in ("documents", "stats", "postings"):
+        spark.read.parquet(f"{smoke.path}/{t}").write.parquet(f"{tmp_path}/i/{t}")
+    with pytest.raises(StoredIndexError):
+        open_index(spark, f"{tmp_path}/i", TWO)
+
+
+def test_frequent_terms_are_split(spark):
+    """Half of all postings are of one term; its postings fill several files, and stay whole."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("field_id"), F.concat(F.lit("all w"), F.col("id").cast("string")).alias("value"))
+        index = build_index(rows, (Field(1, "t"),))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = index.postings.where("term = 'all'").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 20_000 and len(files) > 1
