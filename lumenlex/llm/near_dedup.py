@@ -4,20 +4,22 @@ A document's set is its distinct word shingles.  The sketch of a set is its
 ``SKETCH`` smallest hashes, so two sketches also sketch the union.  Documents
 of equal sets form a class and only classes go on.
 
-Candidates come from inverted lists of retained values.  Of two sets with a
-Jaccard index of at least 0.8, the few smallest values of each (``PREFIX``)
-share at least ``SHARED``.  A value that few sets hold is a list.  A longer
-list is dealt anew by pairs of such values: the values fall into one class
-fewer than are shared, so that two shared ones are in one class, and only pairs
-inside a class, of sets of similar size, make a list.
-
-Lists are joined to a few centres first.  Where components are left apart, random
-parts of each list meet in further rounds, so that large groups of loosely
+Candidates come from inverted lists of retained values.  Of two similar sets the
+sizes are alike, so lists are of one step of sizes, and a set is in those of its
+own step and of the next.  Of two sets with a Jaccard index of at least 0.8, the
+few smallest values of each (``PREFIX``) share at least ``SHARED``.  A set of which
+fewer values are in any other set is in no list at all, as most sets are.  The
+values fall into one class fewer than are shared, so that two shared ones are in
+one class, and a list is of a pair of values inside a class: two sets that are not
+similar rarely share one, however frequent single values are.
+
+Some lists are joined to a few centres first.  Where components are left apart,
+random parts of each list meet in a further round, so that large groups of loosely
 linked sets grow together.  At last the members outside a list's main component
 are joined to all of the list, which makes the result whole at every size.
-Parities of parts of the sketch pass over most pairs inside the join, parities
-of parts of the whole set over most others; then the union's sketch estimates
-the index, and full sets verify what is left.
+Inside the join, parities pass over most pairs; longer parities pass over most
+others; then the union's sketch estimates the index, and full sets verify what is
+left.
 
 Sets are held as 63-bit hashes of the shingles' bytes.
 """
@@ -31,32 +33,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from lumenlex.llm.chunks import slices
-from lumenlex.storage import materialize
+from lumenlex.llm.spread import joined, repeated, small
+from lumenlex.storage import Scratch, materialize
 
 SKETCH = 256
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Values of which two similar sets share at least SHARED: fewer, with a probability of at most one in a billion.
 PREFIX, SHARED = 22, 5
-#: Sets of one value from which its list is dealt anew by pairs of values.
-LONG = 128
-#: Centres of a list of more than 16.
-CENTRES = 3
+#: Sets of fewer values share one value fewer, and of fewer than LEAST only equal ones are similar.
+TINY, LEAST = 6, 4
+#: One list in so many has centres that meet all others first.
+FIRST_OF = 8
+#: Sets of a list up to which it has one centre, and centres of any other.
+SMALL, CENTRES = 16, 3
 #: Members of a list that meet in a later round.
 MEET = 8
 #: All pairs left between components are tried once they are at most so many for each list entry.
-PAIRS_AN_ENTRY = 64
+PAIRS_AN_ENTRY = 256
 #: Rounds before all pairs are tried in any case.
 ROUNDS = 2
-#: Words of 64 parities of a sketch, and of the whole set, that go along in the lists.
-MASK = 8
+#: Words of 64 parities that go along in the lists: of the whole set below WHOLE values, of the sketch from there on.
+MASK, WHOLE = 16, 1400
 #: Words of 64 parities of the whole set that pairs are held against.
 SET_MASK = 32
-#: Nodes up to which their list is broadcast to the table that their sketches or texts are in; a few MB.
-FEW = 200_000
+MASKS = [f"m{i}" for i in range(MASK)]
+#: Nodes up to which their parities, or their sketches, are broadcast; a few MB.
+FEW_PARITIES, FEW_SKETCHES = 1 << 14, 1 << 11
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -83,11 +89,6 @@ def needed_overlap(n: int, k: int) -> int:
     return max(1, int(size * share - 6 * (size * share * (1 - share)) ** 0.5))
 
 
-def _masks(side: str = "", of: str = "ms") -> list[str]:
-    """Columns of parities: of the sketch (m) and of the whole set (s)."""
-    return [f"{side}{x}{i}" for x in of for i in range(MASK)]
-
-
 def parities(sets: list[np.ndarray], words: int) -> np.ndarray:
     """64 * words bits for each set: whether an odd number of its values falls in each part."""
     bits = np.zeros((len(sets), 64 * words), np.uint8)
@@ -96,88 +97,89 @@ def parities(sets: list[np.ndarray], words: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """The rows, to be broadcast if they are few."""
-    rows = materialize(rows, "few")
-    return F.broadcast(rows) if rows.count() <= FEW else rows
-
-
 def wanted(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, k: int) -> DataFrame:
-    """uid, key, n_shingles, set_id (equal for equal sets), need (see :func:`needed_overlap`), sketch, parities of the set, and of the sketch, of every row."""
+    """key, n_shingles, set_id (equal for equal sets), need (see :func:`needed_overlap`), sketch, long parities of the set, and shorter ones of the set or the sketch, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in part.column("text").cast(pa.binary())]
                 sizes = [len(s) for s in sets]
-                masks = np.hstack([parities([s[:k] for s in sets], MASK), parities(sets, MASK)])
+                masks = parities([s if len(s) < WHOLE else s[:k] for s in sets], MASK)
                 parity = parities(sets, SET_MASK)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
                         pa.array(sizes, pa.int64()),
-                        pa.array([xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
+                        pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array([needed_overlap(n, k) for n in sizes], pa.int32()),
                         pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
                         pa.FixedSizeListArray.from_arrays(pa.array(parity.ravel()), SET_MASK).cast(pa.list_(pa.int64())),
-                        *(pa.array(np.ascontiguousarray(masks[:, i])) for i in range(2 * MASK)),
+                        *(pa.array(np.ascontiguousarray(masks[:, i])) for i in range(MASK)),
                     ],
-                    ["key", "n_shingles", "set_id", "need", "sketch", "parity", *_masks()],
+                    ["key", "n_shingles", "set_id", "need", "sketch", "parity", *MASKS],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.mapInArrow(run, f"key {kind}, n_shingles long, set_id string, need int, sketch array<long>, parity array<long>, " + ", ".join(f"{m} long" for m in _masks()))
-    return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "signatures")
+    return rows.mapInArrow(run, f"key {kind}, n_shingles long, set_id binary, need int, sketch array<long>, parity array<long>, " + ", ".join(f"{m} long" for m in MASKS))
 
 
-def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """(list, node, lower) of the lists that at least two nodes are in.
+def inverted_lists(nodes: DataFrame, tables: Scratch) -> DataFrame:
+    """(list, node, lower, size) of the lists of at least two nodes.
 
-    A list by pairs of values is of one step of sizes, and has the sets of the step below as ``lower`` ones: two of
-    these meet in the list of their own step.
+    A list is of one step of sizes, and has the sets of the step below as ``lower`` ones: two of these meet in the list
+    of their own step.
 
-    Sets of 6 values or more share ``SHARED`` of their first n / 5 + SHARED values, whatever the values' order, and of
-    their first ``PREFIX`` by chance; smaller ones that are similar share nearly all, and make lists of all pairs.
+    Sets of ``TINY`` values or more share ``SHARED`` of their first n / 5 + SHARED values, whatever the values' order,
+    and of their first ``PREFIX`` by chance.  Smaller ones that are similar but not equal have four and five values and
+    share four, and make lists of all pairs.  All shared values are held by both sets, so a set of fewer held values
+    takes no part.
     """
     prefix = F.least(F.lit(PREFIX), F.floor(F.col("n") / DENOMINATOR).cast("int") + SHARED)
-    entries = nodes.select("node", "n", F.explode(F.slice("head", F.lit(1), prefix)).alias("value"))
-    shared = materialize(entries.groupBy("value").count().where("count > 1"), "shared")
-    held = entries.join(shared, "value")
-    long = materialize(held.where(F.col("count") > LONG).groupBy("node", "n").agg(F.array_sort(F.collect_list("value")).alias("held")).where(F.size("held") > 1), "long")
+    step = F.floor(F.ln("n") / F.ln(F.lit(DENOMINATOR / NUMERATOR)))  # of two similar sets, the steps are at most one apart
+    both = nodes.where(F.col("n") >= LEAST).select("node", (F.col("n") < TINY).alias("tiny"), F.slice("head", F.lit(1), prefix).alias("head"), F.posexplode(F.array(step, step + 1)).alias("lower", "bucket"))
+    entries = both.select("node", "tiny", "lower", F.explode(F.transform("head", lambda x: F.xxhash64(x, "bucket"))).alias("list"))
+    shared = tables.table(_of_lists(entries).select("list"), "shared")
+    held = entries.join(shared, "list").groupBy("node", "tiny", "lower").agg(F.array_sort(F.collect_list("list")).alias("held"))
+    held = held.where(F.size("held") >= F.when(F.col("tiny"), SHARED - 1).otherwise(SHARED))
 
     def pairs(x: Column, i: Column) -> Column:
-        rest = F.filter(F.slice("held", i + 2, F.size("held")), lambda y: (F.col("n") < 6) | (x % (SHARED - 1) == y % (SHARED - 1)))
-        return F.transform(rest, lambda y: F.xxhash64(x, y, F.col("bucket")))
+        rest = F.filter(F.slice("held", i + 2, F.size("held")), lambda y: F.col("tiny") | (x % (SHARED - 1) == y % (SHARED - 1)))
+        return F.transform(rest, lambda y: F.xxhash64(x, y))
 
-    step = F.floor(F.ln("n") / F.ln(F.lit(DENOMINATOR / NUMERATOR)))  # of two similar sets, the steps are at most one apart
-    dealt = long.select("node", "n", "held", F.posexplode(F.array(step, step + 1)).alias("lower", "bucket"))
-    dealt = dealt.select("node", "lower", F.explode(F.flatten(F.transform("held", pairs))).alias("list"))
-    again = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("count"), F.min("lower").alias("least")).where("count > 1 AND least = 0").select("list")
-    short = held.where(F.col("count") <= LONG).select(F.col("value").alias("list"), "node", F.lit(0).alias("lower"))
-    return materialize(short.unionByName(dealt.join(again, "list").select("list", "node", "lower")), "lists")
+    dealt = tables.table(held.select("node", "lower", F.explode(F.flatten(F.transform("held", pairs))).alias("list")), "dealt")
+    tables.drop(shared)
+    out = tables.table(dealt.join(_of_lists(dealt).select("list", "size"), "list"), "lists")
+    tables.drop(dealt)
+    return out
+
+
+def _of_lists(entries: DataFrame) -> DataFrame:
+    """Lists in which any two nodes may meet."""
+    return entries.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("lower").alias("least")).where("size > 1 AND least = 0")
 
 
-def full_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def full_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int, tables: Scratch) -> DataFrame:
     """(node, text) of the nodes in any pair."""
-    repeats = _repeats(docs, key)
-    of = few(wanted(pairs).join(nodes.select("node", F.col("key").alias("_wanted"), *["set_id"] * repeats), "node"))
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(of, F.col("_key").eqNullSafe(F.col("_wanted")))
+    again = not repeated(docs, key).isEmpty()
+    of = tables.table(wanted(pairs).join(nodes.select("node", F.col("key").alias("_wanted"), *["set_id"] * again), "node"), "of")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text")).join(small(of), F.col("_key").eqNullSafe(F.col("_wanted")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where rows repeat a key with other texts, the node's own text only."""
         for batch in batches:
             for part in slices(batch):
-                found = [xxh3_128_hexdigest(shingles((x.as_py() or "").encode(), words).tobytes()) for x in part.column("text")]
+                found = [xxh3_128_digest(shingles((x.as_py() or "").encode(), words).tobytes()) for x in part.column("text")]
                 yield part.filter(pa.array([a == b for a, b in zip(found, part.column("set_id").to_pylist(), strict=True)], pa.bool_())).select(["node", "text"])
 
-    if repeats:
+    if again:
         texts = texts.select("node", "set_id", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"])
-    return materialize(texts.select("node", "text"), "texts")
+    return tables.table(texts.select("node", "text"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -201,61 +203,66 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    return materialize(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "links")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def _repeats(docs: DataFrame, key: str) -> bool:
-    return not docs.groupBy(key).count().where("count > 1").isEmpty()
+def beside(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """Pairs with the columns of ``side`` (node and others) for both of their nodes, prefixed a_ and b_."""
+    for x in "ab":
+        pairs = pairs.join(side.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in side.columns if c != "node")), x)
+    return pairs
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, rows: DataFrame, tables: Scratch) -> DataFrame:
     """Pairs whose sets' parities differ in no more parts than similar sets' values can: a ninth of both sizes."""
-    for x in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity")), x)
+    of = tables.table(wanted(pairs), "of")
+    side = tables.table(rows.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "parity").join(small(of), "node"), "parities")
     apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return pairs.where(apart * (NUMERATOR + DENOMINATOR) <= (F.col("a_n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR)).select("a", "b")
+    out = tables.table(beside(pairs, small(side, FEW_PARITIES)).where(apart * (NUMERATOR + DENOMINATOR) <= (F.col("a_n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR)).select("a", "b"), "bounded")
+    tables.drop(of, side)
+    return out
 
 
-def estimated(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def estimated(pairs: DataFrame, rows: DataFrame, k: int, tables: Scratch) -> DataFrame:
     """Pairs that share enough of the union's sketch, as :func:`needed_overlap` of the smaller set has it; ``sure`` where the sketches are the sets."""
-    side = rows.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "need", "sketch")
-    side = materialize(side.join(few(wanted(pairs)), "node"), "sketches")
-    for x in "ab":
-        pairs = pairs.join(side.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "need", "sketch"))), x)
+    of = tables.table(wanted(pairs), "of")
+    side = tables.table(rows.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "need", "sketch").join(small(of), "node"), "sketches")
     both = F.array_intersect("a_sketch", "b_sketch")
     common = F.size(F.array_intersect(F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k), both))
     whole = (F.col("a_n") <= k) & (F.col("b_n") <= k)
     exact = F.size(both) * DENOMINATOR >= NUMERATOR * (F.col("a_n") + F.col("b_n") - F.size(both))
-    return pairs.where(F.when(whole, exact).otherwise(common >= F.least("a_need", "b_need"))).select("a", "b", whole.alias("sure"))
+    out = tables.table(beside(pairs, small(side, FEW_SKETCHES)).where(F.when(whole, exact).otherwise(common >= F.least("a_need", "b_need"))).select("a", "b", whole.alias("sure")), "close")
+    tables.drop(of, side)
+    return out
 
 
 def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, k: int) -> DataFrame:
-    """Distinct pairs (a > b) of the asked (list, node) and members of the same list, in different components, of similar sizes and parities."""
-    near = members.select("list", "node", "lower", "root").join(figures, "node")
-    far = asked.select("list", "node", "lower", "root").join(figures, "node")
-    far = far.select("list", *(F.col(c).alias(f"b_{c}") for c in ("node", "lower", "root", "n", "need", *_masks())))
-
-    def apart(of: str) -> Column:
-        return reduce(lambda x, y: x + y, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_masks("", of), _masks("b_", of), strict=True)))
-
+    """Distinct pairs (a > b) of the asked (list, part, node, lower, root) and members of the same, in different components, of similar sizes and parities."""
+    far = asked.select("list", "part", "node", "lower", "root").join(figures, "node")
+    far = far.select("list", "part", *(F.col(c).alias(f"b_{c}") for c in ("lower", "root", *figures.columns)))
+    near = members.select("list", "part", "node", "lower", "root").join(figures, "node")
     # Parities that differ are at most the values that differ.
-    both = F.least(F.col("n"), F.lit(k)) + F.least(F.col("b_n"), F.lit(k))
-    close = (apart("m") <= both - 2 * F.least("need", "b_need")) & (apart("s") * (NUMERATOR + DENOMINATOR) <= (F.col("n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR))
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(m).bitwiseXOR(F.col(f"b_{m}"))) for m in MASKS))
+    of_sets = F.floor((F.col("n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR) / (NUMERATOR + DENOMINATOR))
+    of_sketches = F.least("n", F.lit(k)) + F.least("b_n", F.lit(k)) - 2 * F.least("need", "b_need")
+    close = apart <= F.when(F.greatest("n", "b_n") < WHOLE, of_sets).when(F.least("n", "b_n") >= WHOLE, of_sketches).otherwise(64 * MASK)
     alike = (F.col("n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("n") * NUMERATOR)
-    pairs = near.join(far, (near["list"] == far["list"]) & (F.col("root") != F.col("b_root")) & (F.col("lower") + F.col("b_lower") < 2) & alike & close)
-    return pairs.select(F.greatest("node", "b_node").alias("a"), F.least("node", "b_node").alias("b")).distinct()
+    both = near.join(far, ["list", "part"]).where((F.col("root") != F.col("b_root")) & (F.col("lower") + F.col("b_lower") < 2) & alike & close)
+    return both.select(F.greatest("node", "b_node").alias("a"), F.least("node", "b_node").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Scratch) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that has a link; by smallest labels and pointer jumping."""
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    edges = tables.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = tables.table(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         seen = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
         low = labels.join(seen, labels.node == seen.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = materialize(low.join(jump, "root").select("node", "was", F.least("root", "next").alias("root")), "labels")
+        after = tables.table(low.join(jump, "root").select("node", "was", F.least("root", "next").alias("root")), "labels")
+        tables.drop(labels)
         if after.where("root <> was").isEmpty():
+            tables.drop(edges)
             return after.select("node", "root")
         labels = after.select("node", "root")
 
@@ -268,62 +275,76 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     only, has an empty set and is a component of its own.  A null key is never
     kept, unless the rest of its component has none either.
     """
-    rows = signatures(docs, key, text, words, k)
+    with Scratch(docs.sparkSession, "near-dedup") as tables:
+        return materialize(_decided(docs, words, key, text, k, tables), "near-duplicates")
+
+
+def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: Scratch) -> DataFrame:
+    rows = tables.table(signatures(docs, key, text, words, k).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     full = rows.where("n_shingles > 0").withColumn("sketch", F.slice("sketch", 1, PREFIX))
-    first = [F.first(c).alias(c) for c in ("need", "parity", *_masks())]
-    nodes = full.groupBy("set_id").agg(F.min("uid").alias("node"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("head"), *first)
-    nodes = materialize(nodes, "nodes")
-    lists = inverted_lists(nodes)
+    nodes = full.groupBy("set_id").agg(F.min("uid").alias("node"), F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("head"))
+    nodes = tables.table(nodes, "nodes")
+    lists = inverted_lists(nodes, tables)
+    listed = tables.table(lists.select("node").distinct(), "listed")
+    figures = tables.table(rows.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "need", *MASKS).join(small(listed), "node"), "figures")
     links: DataFrame | None = None
-    figures = nodes.select("node", "n", "need", *_masks())
-    placed = nodes.select("node", F.col("node").alias("root"))
+    labels: DataFrame | None = None
 
     for turn in range(ROUNDS + 1):
-        members = lists.join(placed, "node")
-        by_root = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c"))
-        of_list = by_root.groupBy("list").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("main"))
-        of_list = materialize(of_list.where("roots > 1").select("list", "size", F.col("main.c").alias("c"), F.col("main.root").alias("main")), "open")
-        left = of_list.agg(F.sum("size").alias("entries"), F.sum((F.col("size") - F.col("c")) * F.col("size")).alias("pairs")).first()
-        if not left.entries:
-            break
-        members = materialize(members.join(of_list.select("list", "size", "main"), "list"), "members")
-        lists = members.select("list", "node", "lower")
-        final = turn and left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
-        asked = members.where("root <> main").select("list", "node", "root", "lower", "size")
-        if not turn and not final:
-            # The smallest node of each salt.
-            salt = F.when(F.col("size") > 16, F.pmod(F.xxhash64("node"), F.lit(CENTRES))).otherwise(0).alias("salt")
-            asked = asked.where("lower = 0").groupBy("list", salt).agg(F.min("node").alias("node"), F.lit(0).alias("lower")).withColumn("root", F.col("node"))
-        elif not final:
-            part = F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.ceil(F.col("size") / MEET))
-            asked, members = (x.withColumn("list", F.xxhash64("list", part)) for x in (asked, members))
-        pairs = materialize(_close(members, asked, figures, k), "pairs")
-        pairs = materialize(bounded(pairs, nodes), "bounded")
-        close = materialize(estimated(pairs, rows, k), "close")
+        one = F.lit(0).cast("long").alias("part")
+        final = False
+        if not turn:
+            # Each node is a component yet. In some of the lists, as similar sets share many, the smallest node of each salt meets all others.
+            members = lists.where(F.pmod(F.col("list"), F.lit(FIRST_OF)) == 0).select("list", "node", "lower", "size", F.col("node").alias("root"), one)
+            salt = F.when(F.col("size") > SMALL, F.pmod(F.xxhash64("node"), F.lit(CENTRES))).otherwise(0).alias("salt")
+            asked = members.where("lower = 0").groupBy("list", "part", salt).agg(F.min("node").alias("node"), F.lit(0).alias("lower")).withColumn("root", F.col("node"))
+        else:
+            members = lists.join(small(labels), "node", "left").withColumn("root", F.coalesce("root", "node")) if labels else lists.withColumn("root", F.col("node"))
+            by_root = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c"))
+            of_list = by_root.groupBy("list").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("main"))
+            of_list = tables.table(of_list.where("roots > 1").select("list", F.col("size").alias("all"), F.col("main.c").alias("c"), F.col("main.root").alias("main")), "open")
+            left = of_list.agg(F.sum("all").alias("entries"), F.sum((F.col("all") - F.col("c")) * F.col("all")).alias("pairs")).first()
+            if not left.entries:
+                break
+            members = tables.table(members.join(of_list, "list").select("list", "node", "lower", "root", "main", "all"), "members")
+            final = left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
+            part = one if final else F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.ceil(F.col("all") / MEET)).alias("part")
+            members = members.select("list", "node", "lower", "root", "main", part)
+            asked = members.where("root <> main")
+        pairs = tables.table(_close(members, asked, figures, k), "pairs")
+        near = bounded(pairs, rows, tables)
+        close = estimated(near, rows, k, tables)
+        tables.drop(pairs, near)
         found = close.where("sure").select("a", "b")
         unsure = close.where("NOT sure").select("a", "b")
         if not unsure.isEmpty():
-            found = found.unionByName(verified(unsure, full_texts(unsure, nodes, docs, key, text, words), words))
+            texts = full_texts(unsure, nodes, docs, key, text, words, tables)
+            found = found.unionByName(tables.table(verified(unsure, texts, words), "links"))
+            tables.drop(texts)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            labels = components(links)
-            placed = materialize(placed.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+            labels = components(links, tables)
         if final:
             break
 
-    classes = materialize(nodes.select("set_id", "key", "node").join(placed, "node").select("set_id", "key", "root"), "classes")
-    smallest = classes.groupBy("root").agg(F.min("key").alias("component_id"))
-    of_set = materialize(classes.join(smallest, "root").select("set_id", "component_id"), "components")
-    out = rows.select("key", "n_shingles", "set_id").join(of_set, "set_id", "left")  # set_id tells apart the texts of a repeated key
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), "set_id")
+    placed = nodes.select("set_id", "rows", "key", "node")
+    placed = placed.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")) if labels else placed.withColumn("root", F.col("node"))
+    classes = tables.table(placed.select("set_id", "rows", "key", "root"), "classes")
+    smallest = classes.groupBy("root").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    smallest = tables.table(smallest, "smallest")
+    of_set = tables.table(joined(classes, smallest, ["root"], "sets", classes.count()).select("set_id", "rows", "component_id"), "components")
+    # set_id tells apart the texts of a repeated key; rows without a set stay out of the join.
+    some = joined(rows.where("n_shingles > 0").select("key", "n_shingles", "set_id"), of_set, ["set_id"], "rows", rows.count())
+    none = rows.where("n_shingles = 0").select("key", "n_shingles", "set_id", F.col("key").alias("component_id"))
+    out = some.select("key", "n_shingles", "set_id", "component_id").unionByName(none)
+    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"), "set_id")
 
 
 def set_ids(text: Column, words: int) -> Column:
     """set_id of each text, as in :func:`near_duplicates`."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("binary")
     def of(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda x: xxh3_128_hexdigest(shingles((x or "").encode(), words).tobytes()))
+        return texts.map(lambda x: xxh3_128_digest(shingles((x or "").encode(), words).tobytes()))
 
     return of(text.cast("string"))
