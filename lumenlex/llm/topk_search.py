@@ -8,8 +8,10 @@ Above one, the bucket is passed over; if high, few coordinates of each vector
 decide which can reach it; if low, only the bucket's long enough vectors are
 taken.  What is left is verified by exact products.
 
-Blocks of queries meet blocks of vectors on a grid of cells; each block is
-copied to its row or column of cells only, and nothing is broadcast.
+Every query first meets the few longest blocks, which gives it a threshold to
+begin with.  After that a block of vectors is sent only to those blocks of
+queries of which some can reach their threshold in it, and each cell where they
+meet holds a bounded number of blocks, however many queries there are.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ from lumenlex.storage import materialize
 HIGH_COSINE = 0.6
 FOCUS = 3
 EXACT = 2.0**53
+#: The longest blocks, which all queries meet first; a few MB.
+FIRST = 2
+#: Blocks of vectors in a cell, about.
+CELL = 32
+#: Queries whose products are taken at once.
+AT_ONCE = 512
 
 
 def integers(vectors: Column, scale: int = 256) -> Column:
@@ -36,8 +44,14 @@ def integers(vectors: Column, scale: int = 256) -> Column:
     return F.when(whole, F.transform(vectors, lambda x: F.floor(scale * x.cast("double")).cast("double")))
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, vector, norm) as blocks of about ``size`` vectors of similar length.
+def width(rows: DataFrame) -> str:
+    """The smallest numpy type that holds every component."""
+    most = rows.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 0.0
+    return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
+
+
+def blocks(rows: DataFrame, size: int, kind: str) -> DataFrame:
+    """Rows (id, vector, norm) as blocks of about ``size`` vectors of similar length, components as numpy type ``kind``.
 
     Buckets are ranges of the norm; rows of one norm, however many, are dealt over the blocks of their bucket.
     """
@@ -53,7 +67,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     def block(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("norm", ascending=False, kind="stable")
         dim = max(map(len, group["vector"]))
-        matrix = np.zeros((len(group), dim))
+        matrix = np.zeros((len(group), dim), kind)
         for i, v in enumerate(group["vector"]):
             matrix[i, : len(v)] = v
         norm = group["norm"].to_numpy()
@@ -65,11 +79,12 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 class Search:
     """Running top k of a block of queries."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, threshold: np.ndarray | None = None):
         self.ids, self.queries, self.k = ids, queries, k
         self.norms = np.sqrt((queries**2).sum(1))
         self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-        self.threshold = np.full(len(ids), -np.inf)
+        self.threshold = np.full(len(ids), -np.inf) if threshold is None else threshold.copy()
+        self.taken = 0  # products that were computed
 
     def offer(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = (ids != self.ids[q]) & (scores >= self.threshold[q])
@@ -83,7 +98,13 @@ class Search:
         order = np.lexsort((ids, -scores))[: self.k]
         self.best[q] = scores[order], ids[order]
         if len(order) == self.k:
-            self.threshold[q] = scores[order[-1]]
+            self.threshold[q] = max(self.threshold[q], scores[order[-1]])
+
+    def reach(self) -> float:
+        """Vectors shorter than this can't reach any query's threshold; minus infinity if a query takes every vector."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            least = np.where(self.threshold > 0, self.threshold / np.maximum(self.norms, 1e-300), -np.inf)
+        return float(least.min(initial=np.inf)) * (1 - 1e-9)
 
     def visit(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """A block whose vectors are in descending length."""
@@ -100,6 +121,7 @@ class Search:
             (coordinates if cosine[q] >= HIGH_COSINE else lengths).append(q)
 
         def product(q: np.ndarray | int, rows: np.ndarray | slice) -> np.ndarray:
+            self.taken += np.size(q) * len(vectors[rows])
             if exact:
                 return queries[q] @ vectors[rows].T
             big = queries[q].astype(object) @ vectors[rows].T.astype(object)
@@ -109,8 +131,10 @@ class Search:
             # Those too short for every query of this kind end the block early.
             needed = np.where(self.threshold[lengths] > 0, self.threshold[lengths] / np.maximum(self.norms[lengths], 1e-300) / slack, 0)
             stop = int(np.searchsorted(-norms, -needed.min(), side="right"))
-            for q, scores in zip(lengths, product(np.array(lengths), slice(0, stop)), strict=True):
-                self.offer(q, scores, ids[:stop])
+            for i in range(0, len(lengths), AT_ONCE):
+                some = lengths[i : i + AT_ONCE]
+                for q, scores in zip(some, product(np.array(some), slice(0, stop)), strict=True):
+                    self.offer(q, scores, ids[:stop])
         if coordinates:
             unit = vectors / np.where(norms > 0, norms, 1)[:, None]
             for q in coordinates:
@@ -128,7 +152,7 @@ class Search:
                     self.offer(q, product(q, at), ids[at])
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block_size: int = 2048, query_block: int = 1024) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block_size: int = 2048, query_block: int = 8192) -> DataFrame:
     """Each query's ``k`` highest integer products: query_id, rank (from 1), vec_id, score; ties to the smaller id.
 
     All rows but the query's own are candidates.  Vectors that are null, or hold
@@ -136,52 +160,54 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     Shorter vectors count as padded by zeros.  Where rows repeat a query's id,
     it is asked once, by its smallest vector, and none of them is its candidate.
     """
-    spark = rows.sparkSession
     clean = rows.select(F.col(key).cast("long").alias("id"), integers(F.col(vector), scale).alias("vector"), is_query.alias("is_query")).where("id IS NOT NULL AND vector IS NOT NULL")
     clean = clean.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).withColumn("uid", F.monotonically_increasing_id())
     clean = materialize(clean, "vectors")
-    asked = clean.where("is_query").withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("vector"))).where("turn = 1")
-    candidates = materialize(blocks(clean, block_size), "blocks")
-    queries = materialize(blocks(asked, query_block), "queries")
-    n, m = candidates.count(), queries.count()
-    strips = max(1, m)
-    lanes = max(1, min(n, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // strips)))
-
-    def dealt(column: str, over: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(over)).cast("int")
-
-    def all_of(over: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(over - 1)))
-
-    # A block of queries is copied to each lane of its strip, a block of vectors to each strip of its lane: they meet once.
-    left = queries.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), dealt("block", strips).alias("strip"), all_of(lanes).alias("lane"))
-    right = candidates.select("top", "ids", "vectors", dealt("block", lanes).alias("lane"), all_of(strips).alias("strip"))
-    cells = left.join(right, ["strip", "lane"]).sortWithinPartitions("q", "lane", F.desc("top"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, at = None, None
-
-        def found() -> pa.RecordBatch:
-            counts = [len(s) for s, _ in search.best]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(search.ids, counts)), pa.array(np.concatenate([i for _, i in search.best])), pa.array(np.concatenate([s for s, _ in search.best]).astype(np.int64))],
-                ["query_id", "vec_id", "score"],
-            )
+    kind = width(clean)
+    asked = clean.where("is_query").groupBy("id").agg(F.min(F.struct("vector", "norm", "uid")).alias("row")).select("id", "row.*")
+    candidates = materialize(blocks(clean, block_size, kind), "blocks")
+    n = candidates.count()
+
+    def unpacked(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(row[f"{prefix}ids"].as_buffer(), np.int64)
+        return ids, np.frombuffer(row[f"{prefix}vectors"].as_buffer(), kind).reshape(len(ids), -1).astype(float)
+
+    longest = [(bytes(r.ids), bytes(r.vectors)) for r in candidates.orderBy(F.desc("top"), "block").limit(FIRST).collect()]
 
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of queries with their thresholds, and the length that a vector must have to reach any."""
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r] for c in batch.schema.names}
-                cell = (row["q"].as_py(), row["lane"].as_py())
-                if cell != at:
-                    if search:
-                        yield found()
-                    at, ids = cell, np.frombuffer(row["q_ids"].as_buffer(), np.int64)
-                    search = Search(ids, np.frombuffer(row["q_vectors"].as_buffer()).reshape(len(ids), -1), k)
-                ids = np.frombuffer(row["ids"].as_buffer(), np.int64)
-                search.visit(ids, np.frombuffer(row["vectors"].as_buffer()).reshape(len(ids), -1))
-        if search:
-            yield found()
-
-    best = cells.select("q", "lane", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+                search = Search(*unpacked({c: batch.column(c)[r] for c in batch.schema.names}), k)
+                for ids, vectors in longest:
+                    ids = np.frombuffer(ids, np.int64)
+                    search.visit(ids, np.frombuffer(vectors, kind).reshape(len(ids), -1).astype(float))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("block").slice(r, 1), batch.column("ids").slice(r, 1), batch.column("vectors").slice(r, 1), pa.array([search.threshold.tobytes()], pa.binary()), pa.array([search.reach()])],
+                    ["q", "q_ids", "q_vectors", "q_threshold", "reach"],
+                )
+
+    queries = blocks(asked, query_block, kind).select("block", "ids", "vectors")
+    queries = materialize(queries.mapInArrow(begun, "q long, q_ids binary, q_vectors binary, q_threshold binary, reach double"), "queries")
+    strips = sorted((r.reach, r.q) for r in queries.select("q", "reach").collect()) or [(float("inf"), -1)]  # one small row for each block of queries
+    lanes = max(1, -(-n // CELL))
+    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
+    left = queries.drop("reach").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    within = F.size(F.filter(F.lit([x for x, _ in strips]), lambda x: x <= F.col("top")))
+    right = candidates.select("top", "ids", "vectors", lane.alias("lane"), F.explode(F.slice(F.lit([q for _, q in strips]), F.lit(1), within)).alias("q"))
+
+    def met(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        """A cell: one block of queries, and the blocks of vectors that were sent to it, longest first."""
+        scores, ids, counts, who = [np.zeros(0)], [np.zeros(0, np.int64)], [], np.zeros(0, np.int64)
+        if asked.num_rows and blocks.num_rows:
+            row = {c: asked[c][0] for c in asked.column_names}
+            search = Search(*unpacked(row, "q_"), k, np.frombuffer(row["q_threshold"].as_buffer()))
+            for i in np.argsort(-blocks["top"].to_numpy(), kind="stable").tolist():
+                search.visit(*unpacked({c: blocks[c][i] for c in ("ids", "vectors")}))
+            who, counts = search.ids, [len(s) for s, _ in search.best]
+            scores, ids = [s for s, _ in search.best], [i for _, i in search.best]
+        return pa.table({"query_id": np.repeat(who, counts).astype(np.int64), "vec_id": np.concatenate(ids), "score": np.concatenate(scores).astype(np.int64)})
+
+    best = left.groupBy("q", "lane").cogroup(right.groupBy("q", "lane")).applyInArrow(met, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
