@@ -10,7 +10,7 @@ holds more than one, so no hash decides alone.
 
 Texts cross the network once, as distinct blocks combined before the shuffle;
 after that there are only names.  No group is gathered: groups are aggregated
-to their smallest key and joined back.
+to their smallest key and joined back, the few very large ones by broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlex.storage import materialize
+from lumenlex.llm.spread import joined
+from lumenlex.storage import Scratch, materialize
 
 BLOCK_CHARS = 4096
 #: Of a name's 63 bits: bucket, and rank inside the bucket.
@@ -30,7 +31,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _named(rows: DataFrame, bucket_bits: int, rank_bits: int) -> DataFrame:
+def _named(rows: DataFrame, bucket_bits: int, rank_bits: int, tables: Scratch) -> DataFrame:
     """``items`` replaced by ``names``; equal items of all rows get equal names and others do not."""
 
     def bucket(x: Column) -> Column:
@@ -43,7 +44,7 @@ def _named(rows: DataFrame, bucket_bits: int, rank_bits: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("item")) - 1
     ranked = distinct.join(crowded, "bucket").select("item", rank.alias("rank")).where("rank > 0")
     ranked = ranked.withColumn("rank", F.when(F.col("rank") < 1 << rank_bits, F.col("rank")).otherwise(F.raise_error(F.lit("a bucket holds more blocks than its ranks can number: give more rank bits"))))
-    moved = rows.select("uid", F.posexplode("items").alias("at", "item")).join(materialize(ranked, "ranks"), "item")
+    moved = rows.select("uid", F.posexplode("items").alias("at", "item")).join(tables.table(ranked, "ranks"), "item")
     moved = moved.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("at", "rank"))).alias("moved"))
 
     def name(x: Column, at: Column) -> Column:
@@ -52,14 +53,14 @@ def _named(rows: DataFrame, bucket_bits: int, rank_bits: int) -> DataFrame:
     return rows.join(moved, "uid", "left").withColumn("names", F.transform("items", name)).drop("items", "moved")
 
 
-def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, bucket_bits: int = BUCKET_BITS, rank_bits: int = RANK_BITS) -> DataFrame:
+def identities(docs: DataFrame, tables: Scratch, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, bucket_bits: int = BUCKET_BITS, rank_bits: int = RANK_BITS) -> DataFrame:
     """A row for each document: uid, key, text_sha256, and level and name, which only equal texts share.
 
     The empty text has level 0 and name -1.
     """
     rows = docs.select(F.col(key).alias("key"), normalised(F.col(text)).alias("norm"), F.monotonically_increasing_id().alias("uid"))
     rows = rows.select("uid", "key", F.sha2("norm", 256).alias("text_sha256"), F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0)).alias("items"))
-    named = materialize(_named(rows, bucket_bits, rank_bits), "names")
+    named = tables.table(_named(rows, bucket_bits, rank_bits, tables), "names")
     many = F.size("names") > 1
     done = named.where(~many).withColumn("level", F.lit(0))
     longest = named.agg(F.max(F.size("names"))).first()[0] or 0
@@ -71,7 +72,7 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block_c
             F.sequence(F.lit(0), F.floor((F.size("names") - 1) / 2).cast("int")),
             lambda i: F.struct(F.get("names", 2 * i).alias("a"), F.coalesce(F.get("names", 2 * i + 1), F.lit(-1).cast("long")).alias("b")),
         )
-        named = materialize(_named(active.withColumn("items", pair).drop("names"), bucket_bits, rank_bits), "names")
+        named = tables.table(_named(active.withColumn("items", pair).drop("names"), bucket_bits, rank_bits, tables), "names")
         done = done.unionByName(named.where(~many).withColumn("level", F.lit(level)))
         active = named.where(many)
     return done.select("uid", "key", "text_sha256", "level", F.coalesce(F.get("names", F.lit(0)), F.lit(-1).cast("long")).alias("name"))
@@ -84,7 +85,8 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     where rows repeat that key as well, one of them stays.  Null and empty texts
     are equal, and differ from a blank.  Other columns are ignored.
     """
-    rows = materialize(identities(docs, key, text, **naming), "identities")
-    groups = rows.groupBy("level", "name").agg(F.min(F.struct("key", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(materialize(groups, "groups"), ["level", "name"])
-    return joined.select(F.col("key").alias(key), F.col("keep.key").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256")
+    with Scratch(docs.sparkSession, "exact-dedup") as tables:
+        rows = tables.table(identities(docs, tables, key, text, **naming), "identities")
+        groups = rows.groupBy("level", "name").agg(F.min(F.struct("key", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        found = joined(rows, tables.table(groups, "groups"), ["level", "name"], "group_size", rows.count())
+        return materialize(found.select(F.col("key").alias(key), F.col("keep.key").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256"), "exact-duplicates")

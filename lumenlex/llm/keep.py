@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlex.llm.spread import repeated, small
+from lumenlex.storage import materialize
+
 
 def kept_rows(docs: DataFrame, decisions: DataFrame, same_text: Column, decided_text: str, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns, whose decision is ``kept``.
 
-    ``decisions`` has a row for each document with the key, ``kept`` and a
-    figure of its text (``decided_text``) that ``same_text`` computes as well.
-    Keys are unique as a rule, and then only the keys of dropped rows are
-    joined.  Where rows repeat a key, that figure tells them apart, and of rows
-    alike in both one stays.
+    ``decisions``, a stored table, has a row for each document with the key,
+    ``kept`` and a figure of its text (``decided_text``) that ``same_text``
+    computes as well.  Only the keys of dropped rows are joined, by broadcast as
+    long as they are few.  Of keys that rows repeat, null among them, that
+    figure tells the rows apart, and of rows alike in both one stays; no other
+    row's text is looked at.
     """
-    if decisions.groupBy(key).count().where("count > 1").isEmpty():
-        gone = decisions.where("NOT kept").select(F.col(key).alias("_key"))
-        return docs.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    again = materialize(repeated(decisions, key).select(F.col(key).alias("_key")), "repeated")
+    gone = decisions.where("NOT kept").select(F.col(key).alias("_key")).union(again).distinct()
+    at = F.col(key).eqNullSafe(F.col("_key"))
+    rows = docs.join(small(materialize(gone, "gone")), at, "left_anti")
+    if again.isEmpty():
+        return rows
     stay = decisions.where("kept").select(F.col(key).alias("_key"), F.col(decided_text).alias("_decided")).distinct()
-    rows = docs.withColumn("_same", same_text)
-    rows = rows.join(stay, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_same") == F.col("_decided")), "left_semi")
-    return rows.dropDuplicates([key, "_same"]).drop("_same")
+    those = docs.join(small(again), at, "left_semi").withColumn("_same", same_text)
+    those = those.join(stay, at & (F.col("_same") == F.col("_decided")), "left_semi").dropDuplicates([key, "_same"])
+    return rows.unionByName(those.drop("_same"))

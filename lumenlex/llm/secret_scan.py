@@ -3,7 +3,8 @@
 Every text is scanned whole for three fixed kinds of span and for further
 candidates: long mixed strings of high entropy.  The values' hashes are counted
 over the corpus by distinct repositories and owners.  A value that many owners
-carry is a copied example; one that few owners carry looks live.  Further
+carry, or many repositories of few owners, is a copied example; one that few
+carry looks live.  Further
 candidates count only if they look live; spans of the fixed kinds always stay.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlex.llm.chunks import slices
-from lumenlex.storage import materialize
+from lumenlex.llm.spread import joined
+from lumenlex.storage import Scratch, materialize
 
 # The kinds in order, and their patterns.
 KINDS = ("assign", "access", "hex", "owned")
@@ -37,7 +39,12 @@ ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{
 ENTROPY = 3.5
 #: A value of more owners than this is a copied example.
 LIVE_OWNERS = 2
+#: And so is one of more repositories, whoever owns them.
+LIVE_REPOSITORIES = 8
+#: Spans up to which those to be masked are broadcast; a few MB.
+FEW_SPANS = 200_000
 
+FIGURES = ("n_live", "n_example", "most_owners", "most_repositories")
 SPAN = "struct<kind:string,start:int,end:int,hash:string>"
 
 
@@ -66,17 +73,19 @@ def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[s
     return found
 
 
-def joined(spans: Column) -> Column:
+def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """A row for each document: key, text_sha256, base and spans (arrays of kind, start, end, hash), n_live, n_example.
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "source", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
+    """A row for each document: key, text_sha256, base and spans (arrays of kind, start, end, hash), n_live, n_example, and the most owners and repositories that any value of its spans has.
 
     ``text_sha256`` tells rows of one key apart; it is null for texts without spans and candidates.
 
-    The owner of a repository is the part of its name before the first ``/``.
-    A null or empty text has no spans; a null repository counts as one of its own.
+    The owner of a repository is the part of its name before the first ``/``, or
+    the whole name without one.  A document of a null or empty repository has an
+    unknown owner, and counts as a repository and owner of its own.  A null or
+    empty text has no spans; rows that repeat a key are scanned each for itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,22 +110,31 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: s
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("repository"), pa.array(sums, pa.string()), pa.array(base, kind), pa.array(more, kind)], ["key", "repository", "text_sha256", "base", "more"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.nullif(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.col(text).cast("string").alias("text"))
     found = rows.mapInArrow(run, f"key {kind}, repository string, text_sha256 string, base array<{SPAN}>, more array<{SPAN}>")
-    found = materialize(found.withColumn("uid", F.monotonically_increasing_id()), "secrets")
-    spans = materialize(found.select("uid", "repository", F.inline(F.concat("base", "more"))), "spans")
-    owners = spans.select("hash", "repository", F.substring_index("repository", "/", 1).alias("owner")).distinct()
-    owners = owners.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    judged = spans.join(materialize(owners, "owners"), "hash").withColumn("live", F.col("n_owners") <= live_owners)
+    with Scratch(docs.sparkSession, "secret-scan") as tables:
+        return materialize(_judged(found, key, live_owners, live_repositories, tables), "scanned")
+
+
+def _judged(found: DataFrame, key: str, live_owners: int, live_repositories: int, tables: Scratch) -> DataFrame:
+    found = tables.table(found.withColumn("uid", F.monotonically_increasing_id()), "found")
+    unknown = F.concat(F.lit("\0"), F.col("uid").cast("string"))
+    spans = tables.table(found.select("uid", F.coalesce("repository", unknown).alias("repository"), F.inline(F.concat("base", "more"))), "spans")
+    held = spans.groupBy("hash", "repository").agg(F.count(F.lit(1)).alias("n")).withColumn("owner", F.substring_index("repository", "/", 1))
+    owners = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repositories"), F.sum("n").alias("n"))
+    owners = owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repositories").alias("n_repositories"), F.sum("n").alias("n_spans"))
+    judged = joined(spans, tables.table(owners, "owners"), ["hash"], "n_spans", spans.count())
+    judged = judged.withColumn("live", (F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories))
     own = judged.where((F.col("kind") != "owned") | F.col("live")).groupBy("uid").agg(
         F.array_sort(F.collect_list(F.struct("start", F.array_position(F.lit(list(KINDS)), F.col("kind")).alias("place"), "kind", "end", "hash"))).alias("all"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
     )
-    out = found.join(own, "uid", "left")
     all_spans = F.coalesce(F.transform("all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hash"].alias("hash"))), F.array().cast(f"array<{SPAN}>"))
-    zero = F.lit(0).cast("long")
-    return out.select(F.col("key").alias(key), "text_sha256", "base", all_spans.alias("spans"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"))
+    figures = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in FIGURES]
+    return found.join(own, "uid", "left").select(F.col("key").alias(key), "text_sha256", "base", all_spans.alias("spans"), *figures)
 
 
 def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -125,7 +143,7 @@ def digests(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
-    return scanned.select(key, count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_live", "n_example")
+    return scanned.select(key, count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *FIGURES)
 
 
 def mask(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str = "text", by: str = "[SECRET]") -> DataFrame:
@@ -133,10 +151,15 @@ def mask(docs: DataFrame, scanned: DataFrame, key: str = "doc_id", text: str = "
 
     Rows that repeat a key, null keys among them, get the spans of their own
     text: the join is by key and the hash of the text.  Only documents with
-    spans are joined; all other rows and all other columns pass unchanged, but
-    for ``n_chars``, which follows the text if it is there.
+    spans are joined, by broadcast as long as they have few; all other rows, null
+    and empty texts among them, and all other columns pass unchanged, but for
+    ``n_chars``, which follows the text if it is there.
     """
-    spans = scanned.where(F.size("spans") > 0).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha256"), F.col("spans").alias("_spans")).dropDuplicates(["_key", "_sha256"])
+    places = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    spans = scanned.where(F.size("spans") > 0).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha256"), places.alias("_spans")).dropDuplicates(["_key", "_sha256"])
+    spans = materialize(spans, "places")
+    most = spans.agg(F.sum(F.size("_spans"))).first()[0] or 0
+    spans = F.broadcast(spans) if most <= FEW_SPANS else spans
 
     @F.pandas_udf("string")
     def replaced(texts, spans):  # noqa: ANN001, ANN202
