@@ -34,8 +34,10 @@ LENGTHS = (1, 2, 3)
 SLOTS = 8192
 LANDMARKS = 128
 SAMPLE_ROWS = 4096
-#: The most frequent labels are learned, at most so many.
-MAX_LANGUAGES = 512
+#: Rows of a language that are drawn at least, if it has as many.
+LEAST_ROWS = 8
+#: More different labels than this are an error: they are no languages, and the sample would have no bound.
+MAX_LABELS = 4096
 RIDGE = 1e-3
 #: A text is foreign below this part of this quantile of the sample rows' commonness.
 FOREIGN, QUANTILE = 0.8, 0.01
@@ -147,16 +149,26 @@ def learn(languages: list[str], bits: list[bytes], labels: list[str], ridge: flo
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """From rows with a label and a letter in their text; None if there are none."""
+    """From rows with a label and a letter in their text; None if there are none.
+
+    Every label that occurs is a language, however many there are: of each,
+    ``sample_rows`` / languages rows are drawn, but ``LEAST_ROWS`` if it has them.
+    Rows alike in key, text and label count once. Raises ValueError for more than
+    ``MAX_LABELS`` labels.
+    """
     rows = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = materialize(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels")
+    many = counts.count()
+    if not many:
         return None
-    languages = sorted(r.label for r in counts)
-    share = sample_rows / len(counts)
-    rate = F.create_map(*(x for r in counts for x in (F.lit(r.label), F.lit(int(min(1.0, share / r["count"]) * (1 << 30))))))
-    drawn = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < F.try_element_at(rate, F.col("label")))
+    if many > MAX_LABELS:
+        raise ValueError(f"{many} different labels, of which at most {MAX_LABELS} can be learned")
+    # As many rows of each language, and all of those that have fewer.
+    rate = F.least(F.lit(1.0), F.lit(max(sample_rows / many, LEAST_ROWS)) / F.col("n")) * (1 << 30)
+    rates = counts.select("label", rate.cast("long").alias("rate"))  # a row for each language
+    drawn = rows.withColumn("hash", F.xxhash64("key", "text")).join(F.broadcast(rates), "label")
+    drawn = drawn.where(F.pmod(F.col("hash"), F.lit(1 << 30)) < F.col("rate")).groupBy("label", "hash").agg(F.min("text").alias("text"))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,10 +179,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
 
     # About sample_rows rows of one kilobyte, whatever the texts' length.
     drawn = materialize(drawn.select("text", "label"), "sample")
-    sample = drawn.mapInArrow(rows_of, "label string, bits binary").orderBy("label", "bits").collect()
+    sample = sorted((r.label, bytes(r.bits)) for r in drawn.mapInArrow(rows_of, "label string, bits binary").collect())
     if not sample:
         return None
-    bits, labels = [bytes(r.bits) for r in sample], [r.label for r in sample]
+    labels, bits = [x for x, _ in sample], [x for _, x in sample]
+    languages = sorted(set(labels))
     model = learn(languages, bits, labels)
     place = {x: i for i, x in enumerate(languages)}
     rows_in = np.zeros(len(languages), np.int64)
@@ -199,6 +212,8 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     """key, lang_pred and score (0 to 1) of every row, from its text alone.
 
     ``und`` with score 0 where the text is null or has no letter, and for all rows if nothing was learned.
+    Of languages that score alike the first in order of name is taken.  Each row is judged for itself, whole texts of
+    any length; other columns, however they are called, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +242,8 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.1, tex
     Foreign is a text whose n-grams are less common than ``FOREIGN`` times a
     low quantile of the sample rows'; one that is foreign for its larger part
     goes as well.  A sample of fewer than ``1 / QUANTILE`` rows has no such
-    quantile, and then no text is foreign.
+    quantile, and then no text is foreign.  Null and empty texts have no letter
+    and go; without a model every text with a letter stays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,7 +95,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Model | None:
-    """From documents with a 0/1 label (the mean, where labels repeat); None without any."""
+    """From documents with a 0/1 label (the mean, where labels repeat); None without any.
+
+    Null and empty texts have figures of zeros, and whole texts of any length are read. Of rows that repeat a key, one
+    is learned from (that of the smallest hash of its text). Documents without a label and labels without a document
+    are left out, as are null keys.
+    """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label")).where("key IS NOT NULL AND label IS NOT NULL").groupBy("key").agg(F.avg("label").alias("label"))
     n = known.count()
     if not n:
@@ -108,10 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             for part in slices(batch):
                 x = statistics(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64())), part.column("aside")], ["label", "x", "aside"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("hash"), part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64())), part.column("aside")], ["key", "hash", "label", "x", "aside"])
 
     rows = rows.withColumn("aside", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(4)) == 0)
-    sample = materialize(rows.select("label", "text", "aside").mapInArrow(figures, "label double, x array<double>, aside boolean"), "figures")
+    kind = docs.schema[key].dataType.simpleString()
+    seen = rows.select("key", F.xxhash64("text").alias("hash"), "label", "text", "aside").mapInArrow(figures, f"key {kind}, hash long, label double, x array<double>, aside boolean")
+    sample = materialize(seen.groupBy("key").agg(F.min_by(F.struct("label", "x", "aside"), "hash").alias("row")).select("row.*"), "figures")
     moments = sample.where("NOT aside").select("label", F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale")).orderBy("at").collect()
     if not moments:
         return None
@@ -136,7 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """key, score (0 to 1) and predicted (1 from ``threshold`` on) of every row, from its text alone; 0.5 if nothing was learned."""
+    """key, score (0 to 1) and predicted (1 from ``threshold`` on) of every row, from its text alone; 0.5 if nothing was learned.
+
+    Null and empty texts get the score of figures that are all zero; rows that repeat a key or a text are scored each
+    for itself, and other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
