@@ -3,8 +3,9 @@
 How many rows of each input partition go to each shard is drawn at once, from
 the multivariate hypergeometric law, so that every shard's total is exact.
 Rows are permuted inside their partition, exchanged by those counts, and
-permuted again inside their shard.  The second permutation is a distributed
-sort by random keys; a shard is never gathered into one task.
+permuted again inside their shard.  The second permutation deals a shard into
+runs of bounded size at random and orders each by random keys; a shard is never
+gathered into one task.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlex.storage import materialize
+from lumenlex.storage import Scratch, materialize
 
 _NUMPY_LIMIT = 10**9
+#: Rows of a run, about.
+RUN_ROWS = 200_000
+#: Runs up to which their starts are broadcast.
+FEW = 500_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -69,21 +74,25 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    rows = materialize(df.select(F.struct(*map(F.col, df.columns)).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("uid")), "rows")
+    with Scratch(spark, "sharding") as tables:
+        return _sharded(df, shards, seed, tables)
+
+
+def _sharded(df: DataFrame, shards: int, seed: int, tables: Scratch) -> DataFrame:
+    spark = df.sparkSession
+    rows = tables.table(df.select(F.struct(*map(F.col, df.columns)).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("uid")), "rows")
     counts = rows.groupBy("part").count().orderBy("part").collect()  # one small row a partition
     matrix = communication_matrix([r["count"] for r in counts], shards, seed)
     bounds = spark.createDataFrame([(r.part, list(map(int, np.cumsum(m)))) for r, m in zip(counts, matrix, strict=True)], "part int, bounds array<long>")
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("uid", F.lit(seed)), "uid"))
-    sent = rows.withColumn("place", place).join(bounds, "part")
+    sent = rows.withColumn("place", place).join(F.broadcast(bounds), "part")  # partitions x shards numbers
     sent = sent.select("row", "uid", F.size(F.filter("bounds", lambda b: b < F.col("place"))).alias("shard"), F.xxhash64("uid", F.lit(seed + 1)).alias("key"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = materialize(sent, "sent").repartitionByRange(parts, "shard", "key", "uid").sortWithinPartitions("shard", "key", "uid")
-    placed = materialize(ordered.select("row", "shard", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "placed")
-    runs = placed.groupBy("part", "shard").agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("shard", "part").collect()  # at most parts + shards rows
-    before: dict[int, int] = {}
-    shifts = []
-    for r in runs:
-        shifts.append((r.part, r.shard, before.get(r.shard, 0) - r.first))
-        before[r.shard] = before.get(r.shard, 0) + r.n
-    moved = placed.join(spark.createDataFrame(shifts, "part int, shard int, shift long"), ["part", "shard"])
-    return moved.select("row.*", "shard", (F.col("at") + F.col("shift")).alias("slot"))
+    runs = max(1, -(-sum(r["count"] for r in counts) // (shards * RUN_ROWS)))
+    sent = sent.withColumn("run", F.pmod(F.col("key"), F.lit(runs)).cast("int"))
+    inside = F.row_number().over(Window.partitionBy("shard", "run").orderBy("key", "uid")) - 1
+    placed = materialize(sent.select("row", "shard", "run", inside.alias("at")), "placed")
+    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # over one row a run
+    starts = placed.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.select("shard", "run", "start")
+    starts = F.broadcast(starts) if shards * runs <= FEW else starts
+    return placed.join(starts, ["shard", "run"]).select("row.*", "shard", (F.col("at") + F.col("start")).alias("slot"))

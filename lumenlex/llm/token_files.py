@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.llm import word_bpe
-from lumenlex.storage import fresh_path, materialize
+from lumenlex.storage import Scratch, fresh_path
 
 #: Ids after which a block of documents is closed.
 BLOCK_IDS = 1 << 18
@@ -92,7 +92,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = N
     width = word_bpe.id_width(tokenizer, end_id)
     tokens = word_bpe.encode(docs, tokenizer, end_id, key, width=width, special_tokens=special_tokens).select(F.col(key).alias("key"), "ids")
     kind = docs.schema[key].dataType.simpleString()
-    tokens = materialize(tokens.withColumn("uid", F.monotonically_increasing_id()), "token-ids")
+    with Scratch(spark, "token-ids") as tables:
+        _write(spark, tables.table(tokens.withColumn("uid", F.monotonically_increasing_id()), "ids"), path, width, kind, parts)
+    return path
+
+
+def _write(spark: SparkSession, tokens: DataFrame, path: str, width: str, kind: str, parts: int | None) -> None:
     order = id_ranks(tokens, width)
     rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
@@ -128,7 +133,6 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = N
     ordered = tokens.repartitionByRange(parts, "key", "uid").sortWithinPartitions("key", "uid")
     schema = f"part int, block long, keys array<{kind}>, counts array<int>, start long, control binary, data binary"
     ordered.select(F.spark_partition_id().alias("part"), "key", "ids").mapInArrow(code, schema).write.option("compression", "zstd").parquet(f"{path}/files")
-    return path
 
 
 def _files(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
@@ -138,7 +142,7 @@ def _files(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
     totals = files.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()  # one small row a file
     before = np.cumsum([0, *(r.n for r in totals)])
     offsets = spark.createDataFrame([(r.part, int(b)) for r, b in zip(totals, before, strict=False)], "part int, before long")
-    return files.join(offsets, "part"), np.array([r.id for r in ranks], "<u4")
+    return files.join(F.broadcast(offsets), "part"), np.array([r.id for r in ranks], "<u4")
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
