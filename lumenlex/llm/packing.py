@@ -221,12 +221,12 @@ def bin_completion(lengths: list[int], capacity: int, node_limit: int = 20_000)
 
 
 def place(lengths: np.ndarray, capacity: int, node_limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each piece. Full pieces have bins of their own and take no part in the search."""
+    """Bin and offset of each piece. Full pieces, and longer ones, have bins of their own and take no part in the search; those without length are at the start of bin 0."""
     n = len(lengths)
-    where, offset = np.empty(n, np.int64), np.zeros(n, np.int64)
-    full = np.flatnonzero(lengths == capacity)
+    where, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    full = np.flatnonzero(lengths >= capacity)
     where[full] = np.arange(len(full))
-    rest = np.flatnonzero(lengths < capacity)
+    rest = np.flatnonzero((lengths < capacity) & (lengths > 0))
     by_length: dict[int, list[int]] = {}
     for i in rest.tolist():
         by_length.setdefault(int(lengths[i]), []).append(i)
@@ -240,10 +240,11 @@ def place(lengths: np.ndarray, capacity: int, node_limit: int) -> tuple[np.ndarr
     return where, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", special_tokens: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", special_tokens: bool = False) -> DataFrame:
     """A row for each piece: key, piece, start, length and ids (little-endian unsigned 32-bit integers).
 
     Only documents of over ``capacity`` ids (their end id included) are cut. A null or empty text is one piece, its end id.
+    Rows that repeat a key are cut each for itself; other columns are dropped.
     ``special_tokens`` as in :func:`word_bpe.chunk_encoder`.
     """
 
@@ -263,7 +264,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), ids], ["key", "piece", "start", "length", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids binary").withColumnRenamed("key", key)
 
 
@@ -271,13 +272,15 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_size: int = 20_000, node
     """The pieces (any columns, one of them ``length``) with sequence_id and offset.
 
     Groups are dealt by row number, so rows that repeat one key spread as well. An empty table gives an empty one.
+    A null, zero or negative length takes no room: such a piece is at offset 0 of some sequence. One over ``capacity``
+    is a sequence of its own. Columns that are named like the results are replaced.
     """
     pieces = pieces.drop("sequence_id", "offset", "_uid", "_group")
     rows = materialize(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     groups = max(1, round(rows.count() / group_size))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        where, offset = place(group["length"].to_numpy(np.int64), capacity, node_limit)
+        where, offset = place(group["length"].fillna(0).to_numpy(np.int64), capacity, node_limit)
         return group.assign(sequence_id=where + (group["_group"].iloc[0].astype(np.int64) << 32), offset=offset)[columns]
 
     schema = rows.drop("_uid").schema.add("sequence_id", "long").add("offset", "long")

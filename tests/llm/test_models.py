@@ -115,3 +115,105 @@ def test_stages_with_repeated_rows_and_none(spark):
     assert len(corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == 3
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def slots_of(text):
+    """Slots of a text's n-grams, one n-gram at a time."""
+    codes, out = [ord(c) for c in text.lower()], set()
+    for n in language_id.LENGTHS:
+        for i in range(len(codes) - n + 1):
+            x = n * 0x165667B1 & 0xFFFFFFFF
+            for c, m in zip(codes[i : i + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=False):
+                x = (x ^ c) * m & 0xFFFFFFFF
+                x ^= x >> 15
+            out.add(x >> 32 - 13)
+    return out
+
+
+def test_languages_against_a_direct_kernel(spark):
+    """Scores of the fitted model against kernel ridge regression in the dual, with kernels of plain sets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    words = {"aa": ["kala", "mitä", "olla", "yö"], "bb": ["the", "and", "cat", "you"], "cc": ["wir", "über", "haus", "ist"]}
+    texts, labels = zip(*[(" ".join(rng.choice(w, 6)), x) for x, w in words.items() for _ in range(30)], strict=True)
+    sets = [slots_of(t) for t in texts]
+    rows = language_id.presence(pa.array(texts))
+    assert [set(np.flatnonzero(r)) for r in rows] == sets
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    model = language_id.learn(sorted(words), [np.packbits(r).tobytes() for r in rows], list(labels), landmarks=24)
+    turn = {i: [j for j, y in enumerate(labels) if y == labels[i]].index(i) for i in range(len(labels))}
+    marks = sorted(range(len(labels)), key=lambda i: (turn[i], labels[i], i))[:24]
+    gram = kernel[:, marks] @ np.linalg.pinv(kernel[np.ix_(marks, marks)], rcond=1e-6, hermitian=True) @ kernel[marks] + 1
+    target = np.array([[x == y for x in sorted(words)] for y in labels], float)
+    want = gram @ np.linalg.solve(gram + language_id.RIDGE * len(labels) * np.eye(len(labels)), target)
+    assert np.abs(model.scores(pa.array(texts)) - want).max() < 2e-3
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, f"q{i}x q{i}y z{i} " * 3, f"l{i % 600:03d}", "s", 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(docs)
+    assert model.languages == [f"l{i:03d}" for i in range(600)]
+    assert {r.lang_pred for r in language_id.predict(docs, model).collect()} <= set(model.languages)
+    with pytest.raises(ValueError):
+        language_id.fit(spark.range(5000).select("id", F.lit("abc").alias("text"), F.col("id").cast("string").alias("lang")), key="id")
+
+
+def test_repeated_rows_do_not_swell_the_samples(spark):
+    docs = spark.createDataFrame([(7, "one and the same", "en", "s", 1)] * 3000 + [(i, f"wort {i}", "de", "s", 1) for i in range(8, 60)], DOCS)
+    model = language_id.fit(docs)
+    assert model.languages == ["de", "en"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 60)], "doc_id long, quality int")
+    assert quality.fit(docs, labels) is not None
+
+
+def plain_statistics(text):
+    import math
+    from collections import Counter
+
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * 16
+    n, count = len(raw), Counter(raw)
+    kinds = [
+        lambda c: 65 <= c <= 90,
+        lambda c: 97 <= c <= 122,
+        lambda c: 48 <= c <= 57,
+        lambda c: c in b" \t",
+        lambda c: c in b"\n\v\f\r",
+        lambda c: c in b".,;:'\"-()",
+        lambda c: c in b"!?",
+        lambda c: 33 <= c < 127 and not chr(c).isalnum() and c not in b".,;:'\"-()!?",
+    ]
+    words = raw.lower().split()
+    sizes = [len(w) for w in words]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    out = [sum(v for c, v in count.items() if k(c)) / n for k in kinds]
+    out += [-sum(v / n * math.log2(v / n) for v in count.values()), math.log1p(n)]
+    out += [np.mean(sizes), np.std(sizes), len(set(words)) / len(words) ** 0.8, sizes.count(1) / len(words)] if words else [0.0] * 4
+    return out + ([len(set(lines)) / len(lines), math.log1p(n / len(lines))] if lines else [0.0] * 2)
+
+
+def test_quality_against_a_direct_fit(spark):
+    """Figures text by text, ridge regression in the dual, isotonic fit by its minimax formula."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["good", "words", "Here!", "12", "%%", "a", "line\n"], rng.integers(0, 40))) for _ in range(240)] + ["", None, "\n \n"]
+    label = [int(t is not None and t.count("good") > t.count("%%")) for t in texts]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame(list(enumerate(label)), "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    out = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    x = np.array([plain_statistics(t) for t in texts])
+    aside = np.array([r.a for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("a")).orderBy("doc_id").collect()])
+    y = np.array(label, float)
+    mean, scale = x[~aside].mean(0), x[~aside].std(0)
+    z = np.clip((x - mean) / np.where(scale > 0, scale, 1), -8, 8) @ model.waves + model.phase
+    z = np.hstack([np.cos(z) * np.sqrt(2 / quality.FEATURES), np.ones((len(z), 1))])
+    fit = z[~aside]
+    ridge = z @ fit.T @ np.linalg.solve(fit @ fit.T + quality.RIDGE * len(fit) / quality.FEATURES * np.eye(len(fit)), y[~aside])
+    order = np.flatnonzero(aside)[np.argsort(ridge[aside], kind="stable")]
+    level = [max(min(np.mean(y[order][a : b + 1]) for b in range(i, len(order))) for a in range(i + 1)) for i in range(len(order))]
+    knots = {v: ridge[order][np.isclose(level, v)].mean() for v in sorted(set(np.round(level, 12)))}
+    direct = np.interp(ridge, list(knots.values()), list(knots))
+    assert np.abs(np.array([out[i] for i in range(len(texts))]) - direct).max() < 1e-6

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lumenlex.llm import exact_dedup, packing, secret_scan, sharding
+from lumenlex.llm import exact_dedup, keep, packing, secret_scan, sharding, spread
 
 ODD = "doc_id long, text string, source string, key string, uid string, norm int, part int, shard int, slot int, row int"
 
@@ -163,6 +163,13 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, length long")).count() == 0
 
 
+def test_pack_of_odd_lengths(spark):
+    rows = [(1, None), (2, 0), (3, -5), (4, 150), (5, 100), (6, 60), (7, 40), (8, None)]
+    out = {r.doc_id: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), capacity=100).collect()}
+    assert len(out) == 8 and all(out[i].offset == 0 for i in (1, 2, 3, 4, 5, 8)) and out[1].length is None
+    assert len({out[i].sequence_id for i in (4, 5, 6)}) == 3 and out[6].sequence_id == out[7].sequence_id and {out[6].offset, out[7].offset} in ({0, 60}, {0, 40})
+
+
 PATTERNS = {
     "assign": re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
@@ -218,3 +225,40 @@ def test_masking_of_repeated_and_null_keys(spark):
     docs = odd(spark, [(k, t, "s") for k in (7, None) for t in [*texts, texts[0]]]).repartition(3)
     out = Counter((r.doc_id, r.text) for r in secret_scan.mask(docs, secret_scan.scan(docs)).collect())
     assert out == Counter((k, t) for k in (7, None) for t in [*want, want[0]])
+
+
+def test_ownership_by_repositories_and_unknown_owners(spark):
+    boiler, lost, own = "Zk9qPw3xRt7LmN2vB8sD", "Yq4mTe8uWs1HgF6cX3zK", "Pq8rTz5yUv2JkM7nC4xB"
+    rows = [(i, f"x {boiler}", f"ann/r{i}") for i in range(secret_scan.LIVE_REPOSITORIES + 1)]  # one owner, many repositories
+    rows += [(100 + i, f"x {lost}", None if i % 2 else "") for i in range(3)]  # unknown owners are owners of their own
+    rows += [(200 + i, f"x {own}", "ann/r0") for i in range(50)]  # one repository, many rows
+    out = {r.doc_id: r for r in secret_scan.scan(odd(spark, rows)).collect()}
+    assert not out[0].spans and not out[100].spans
+    assert [s.kind for s in out[200].spans] == ["owned"] and (out[200].most_owners, out[200].most_repositories, out[200].n_live) == (1, 1, 1)
+
+
+def test_hot_values(spark):
+    """Half of all rows have one text, one key or one secret; no row is lost, and the hot one is not joined by its key."""
+    rows = [(i, "one and the same token=abcdefghijk" if i % 2 else f"text {i} password=x{i:08d}", "s") for i in range(4000)]
+    docs = odd(spark, rows).repartition(5)
+    out = exact_dedup.exact_duplicates(docs).collect()
+    assert len(out) == 4000 and sum(r.kept for r in out) == 2001 and {r.group_size for r in out if r.doc_id % 2} == {2000} and {r.keep_id for r in out if r.doc_id % 2} == {1}
+    found = secret_scan.scan(docs).collect()
+    assert len(found) == 4000 and all(len(r.base) == 1 == len(r.spans) for r in found)
+    table = spark.createDataFrame([("a", 2000, 1), ("b", 1, 2)], "k string, n long, v int")
+    big = spark.createDataFrame([("a", i) for i in range(2000)] + [("b", 0), ("c", 0)], "k string, i int")
+    got = spread.joined(big, table, ["k"], "n", 2002)
+    assert Counter((r.k, r.v) for r in got.collect()) == {("a", 1): 2000, ("b", 2): 1, ("c", None): 1}
+    assert spread.joined(big, table, ["k"], "n", 2002, how="inner").count() == 2001
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kept_rows_of_repeated_keys(spark):
+    """Only rows of repeated keys are told apart by their texts; half of all rows have a null key."""
+    from pyspark.sql import functions as F
+
+    rows = [(None if i % 2 else i, f"text {i % 40}", "s") for i in range(400)]
+    docs = odd(spark, rows)
+    decisions = exact_dedup.exact_duplicates(docs)
+    kept = keep.kept_rows(docs, decisions, F.sha2(exact_dedup.normalised(F.col("text")), 256), "text_sha256").collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t, _ in rows}) and kept[0].asDict().keys() == set(docs.columns)

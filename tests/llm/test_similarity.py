@@ -66,7 +66,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("words", "k", "an_entry"), [(2, 128, 2), (2, 128, 0), (5, 128, 2), (5, 32, 0)])
 def test_near_duplicates(spark, monkeypatch, words, k, an_entry):
     monkeypatch.setattr(near_dedup, "PAIRS_AN_ENTRY", an_entry)
-    monkeypatch.setattr(near_dedup, "LONG", 1)  # every list is dealt anew by pairs of values
+    monkeypatch.setattr(near_dedup, "FIRST_OF", 1 + an_entry)  # all lists have centres, or one in three
     rows = corpus(words + k)
     docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, uid int, node int, root int").repartition(3)
     out = near_dedup.near_duplicates(docs, words, k=k).collect()
@@ -74,6 +74,23 @@ def test_near_duplicates(spark, monkeypatch, words, k, an_entry):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+@pytest.mark.parametrize("words", [2, 5])
+def test_documents_with_default_parameters(spark, words):
+    """All pairs of a whole table, with the parameters as shipped: every link is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = near_dedup.near_duplicates(docs, words).collect()
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(components(rows, words))
+
+
+def test_half_of_the_rows_alike(spark):
+    """One text, near copies of it, and empty texts, each on many rows."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base)) for i in range(500)] + [(500 + i, " ".join([*base[:i], f"n{i}", *base[i + 1 :]])) for i in range(100)] + [(600 + i, "") for i in range(300)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.component_id for r in out if r.doc_id < 600} == {0} and all(r.kept for r in out if r.doc_id >= 600) and sum(r.kept for r in out) == 301
+
+
 def test_repeated_and_null_keys(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long), (1, "other text"), (1, "other text"), (2, long + " more"), (None, long + " more words"), (None, None)]
@@ -114,6 +131,33 @@ def test_top_k(spark, kind):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == best(rows, 5)
 
 
+def taken(v, rows):
+    """Share of all products that a block of queries computes, blocks of 64 vectors in descending length."""
+    v = np.floor(256 * v[np.argsort(-np.linalg.norm(v, axis=1))])
+    ids, first = np.arange(len(v)), topk_search.Search(np.arange(0, len(v), rows), v[::rows], 5)
+    first.visit(ids[:64], v[:64])
+    search = topk_search.Search(first.ids, first.queries, 5, first.threshold)
+    for i in range(0, len(v), 64):
+        if np.linalg.norm(v[i]) >= first.reach():
+            search.visit(ids[i : i + 64], v[i : i + 64])
+    full = first.queries @ v.T
+    full[np.arange(len(first.ids)), first.ids] = -np.inf
+    for q in range(len(first.ids)):
+        assert search.best[q][0].tolist() == sorted(full[q], reverse=True)[:5]
+    return search.taken / full.size
+
+
+def test_products_taken():
+    """Lengths that differ let most products go untaken; of vectors of one length and low cosines all are taken."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(3000, 16))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert taken(unit * rng.lognormal(0, 1, 3000)[:, None], 50) < 0.35
+    near = np.repeat(unit[:300], 10, axis=0) + rng.normal(0, 0.01, (3000, 16))
+    assert taken(near, 50) < 0.6
+    assert taken(unit, 50) <= 1
+
+
 def test_top_k_of_few(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk_search.top_k(frame, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 768 + 512 * 1024)]
