@@ -19,30 +19,47 @@ WORDS = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or that resemble no language of the training rows."""
+    """Drops documents without a letter (null and empty texts among them), or that resemble no language of the training rows.
+
+    A row is judged by its own text alone, so rows that repeat a key or a text are judged alike. Without any labelled
+    row to learn from, all documents with a letter stay. An empty table gives an empty one, here and in all stages.
+    """
     model = language_id.fit(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     return language_id.keep_known(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest doc_id stays."""
-    decisions = materialize(exact_dedup.exact_duplicates(docs), "exact")
+    """Of equal texts (null as empty, runs of white space as one blank), one row with the smallest doc_id stays; null is the smallest.
+
+    Rows that repeat a doc_id with other texts are decided each for itself.
+    """
+    decisions = exact_dedup.exact_duplicates(docs)
     return kept_rows(docs, decisions, F.sha2(exact_dedup.normalised(F.col("text")), 256), "text_sha256")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles), the document with the smallest doc_id stays."""
-    decisions = materialize(near_dedup.near_duplicates(docs, words=WORDS), "near")
+    """Of each component of near duplicates (five-word shingles), the document with the smallest doc_id stays.
+
+    Texts without words, null ones among them, resemble nothing and stay. A null doc_id goes if any document of its
+    component has one. Rows that repeat a doc_id are told apart by their sets of shingles; of rows alike in both, one stays.
+    """
+    decisions = near_dedup.near_duplicates(docs, words=WORDS)
     return kept_rows(docs, decisions, near_dedup.set_ids(F.col("text"), WORDS), "set_id")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the texts; all documents stay."""
-    return secret_scan.mask(docs, materialize(secret_scan.scan(docs), "scanned"))
+    """Replaces every secret in the texts; all documents stay, and each row is masked by its own text's spans, whatever its key.
+
+    Null and empty texts pass unchanged; ``n_chars`` follows a masked text.
+    """
+    return secret_scan.mask(docs, secret_scan.scan(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of at most 4096 tokens."""
+    """Pieces of all documents with their places in sequences of at most 4096 tokens.
+
+    A null or empty text is one piece of one token; rows that repeat a doc_id are packed each for itself.
+    """
     pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, special_tokens=True)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=4096)
 
