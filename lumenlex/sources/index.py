@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenlex.errors import DuplicateDocument, MissingAnalyzer, StoredIndexError, UnknownField
 from lumenlex.functions.analysis import MAX_FIELDS, Analyzer, Tokenizer
-from lumenlex.storage import fresh_path
+from lumenlex.storage import Scratch, fresh_path
 
 
 @dataclass(frozen=True)
@@ -131,9 +131,12 @@ def build_index(values: DataFrame, fields: Sequence[Field], path: str | None = N
         postings = postings.join(lengths, ["doc_id", "field_id"])
     else:
         postings = words.groupBy("field_id", "term", "doc_id", "doc_len").agg(F.count("*").cast("int").alias("term_freq"))
-    # Adaptive execution splits a partition that a frequent term makes too large, and joins small ones.
-    laid = postings.hint("rebalance", F.col("field_id"), F.col("term")).sortWithinPartitions("field_id", "term", "doc_id")
-    laid.select("field_id", "term", "doc_id", "term_freq", "doc_len").write.parquet(f"{path}/postings")
+    order = ["field_id", "term", "doc_id"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with Scratch(spark, "postings") as tables:  # stored, as the sort samples it first
+        stored = tables.table(postings.select(*order, "term_freq", "doc_len"), "postings")
+        # By ranges that end inside a term as well, so that a frequent one fills several partitions.
+        stored.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
     terms = spark.read.parquet(f"{path}/postings").groupBy("field_id", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.min("doc_id").alias("first_doc"))
     terms.sortWithinPartitions("field_id", "term").write.parquet(f"{path}/terms")
 
