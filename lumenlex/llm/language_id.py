@@ -40,7 +40,7 @@ LEAST_ROWS = 8
 MAX_LABELS = 4096
 RIDGE = 1e-3
 #: A text is foreign below this part of this quantile of the sample rows' commonness.
-FOREIGN, QUANTILE = 0.8, 0.01
+FOREIGN, QUANTILE = 0.77, 0.01
 ROWS = 256
 
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
