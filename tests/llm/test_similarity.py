@@ -133,7 +133,8 @@ def test_top_k(spark, kind):
 
 def taken(v, rows):
     """Share of all products that a block of queries computes, blocks of 64 vectors in descending length."""
-    v = np.floor(256 * v[np.argsort(-np.linalg.norm(v, axis=1))])
+    v = np.floor(256 * v)
+    v = v[np.argsort(-np.linalg.norm(v, axis=1))]
     ids, first = np.arange(len(v)), topk_search.Search(np.arange(0, len(v), rows), v[::rows], 5)
     first.visit(ids[:64], v[:64])
     search = topk_search.Search(first.ids, first.queries, 5, first.threshold)
