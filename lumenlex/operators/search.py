@@ -68,10 +68,15 @@ class Compiled:
         return reduce(lambda a, b: a | b, ((F.col("field_id") == f) & F.col("term").isin(ts) for f, ts in by_field.items()), F.lit(False))
 
     def postings(self) -> DataFrame:
-        """Postings of the terms, with the number of each; the term table has at most as many rows as a query has nodes."""
+        """Postings of the terms, with the number of each: by literals for a few terms, else by a table of at most as many rows as a query has nodes."""
+        hits = self.index.postings.where(self._wanted())
+        if len(self.terms) <= PIVOT:
+            place = F.coalesce(*(F.when((F.col("field_id") == f) & (F.col("term") == t), F.lit(i)) for (f, t), i in self.terms.items()))
+            average = F.coalesce(*(F.when(F.col("field_id") == f, F.lit(self.index.average_length(f))) for f in sorted({f for f, _ in self.terms})))
+            return hits.withColumns({"place": place, "avg": average})
         rows = [(f, t, i, self.index.average_length(f)) for (f, t), i in self.terms.items()]
         table = self.index.spark.createDataFrame(rows, "field_id int, term string, place int, avg double")
-        return self.index.postings.where(self._wanted()).join(F.broadcast(table), ["field_id", "term"])
+        return hits.join(F.broadcast(table), ["field_id", "term"])
 
     @cached_property
     def frequency(self) -> dict[int, int]:
