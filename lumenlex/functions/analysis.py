@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode White_Space, for Java and for Python.
@@ -174,39 +174,76 @@ def _space(data: np.ndarray) -> np.ndarray:
     return space
 
 
+#: Bytes of text that are cut at once inside an Arrow batch.
+SLICE_BYTES = 1 << 20
+
+
+def _cut(values: pa.Array, analyzer: Analyzer, position_offset: int) -> tuple[pa.StructArray, np.ndarray]:
+    """(text, position, start, end, term) of all tokens of some texts, and how many each text has; each distinct token is mapped once."""
+    raw = values.cast(pa.large_binary())
+    size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(x or b"" for x in raw.to_pylist()), np.uint8)
+    ends_of = np.cumsum(size)
+    begins_of = ends_of - size
+    word = np.append(~_space(data), False)
+    first = np.zeros(len(data) + 1, bool)
+    first[begins_of] = True  # a text's first byte begins a token even right behind another text's last
+    before = np.append(False, word[:-1])
+    starts = np.flatnonzero(word & (~before | first))
+    stop = np.flatnonzero(before & (~word | first))
+    row = np.searchsorted(ends_of, starts, side="right")
+    counts = np.bincount(row, minlength=len(size))
+    place = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
+    texts = pa.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), stop.tolist(), strict=True)], pa.binary()).cast(pa.string())
+    distinct = texts.dictionary_encode()
+    terms = pa.array([analyzer.text(x) for x in distinct.dictionary.to_pylist()], pa.string()).take(distinct.indices)
+    own = begins_of[row]
+    cells = pa.StructArray.from_arrays([texts, *(pa.array(x.astype(np.int32)) for x in (place + position_offset, starts - own, stop - own)), terms], ["text", "position", "start", "end", "term"])
+    return cells, counts
+
+
+def _slices(values: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive texts of about ``SLICE_BYTES`` in all, one at least, with the place of the first."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(values):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE_BYTES, side="right")))
+        yield low, values.slice(low, high - low)
+        low = high
+
+
 def tokens(value: Column, analyzer: Analyzer = Analyzer(), position_offset: int = 0) -> Column:
     """Array of (text, position, start, end, term) of the white-space tokens; positions from the offset, byte ranges in UTF-8.
 
-    A batch of texts is cut at once, and each of its distinct tokens is mapped once.
+    Holds the tokens of a whole batch of texts; :func:`token_rows` does not.
     """
+    kind = pa.struct([("text", pa.string()), ("position", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("term", pa.string())])
 
     @F.arrow_udf("array<struct<text:string,position:int,start:int,end:int,term:string>>")
     def found(values: pa.Array) -> pa.Array:
-        raw = values.cast(pa.large_binary())
-        size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        data = np.frombuffer(b"".join(x or b"" for x in raw.to_pylist()), np.uint8)
-        ends_of = np.cumsum(size)
-        begins_of = ends_of - size
-        word = np.append(~_space(data), False)
-        first = np.zeros(len(data) + 1, bool)
-        first[begins_of] = True  # a text's first byte begins a token even right behind another text's last
-        before = np.append(False, word[:-1])
-        starts = np.flatnonzero(word & (~before | first))
-        stop = np.flatnonzero(before & (~word | first))
-        row = np.searchsorted(ends_of, starts, side="right")
-        counts = np.bincount(row, minlength=len(size))
-        place = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
-        texts = pa.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), stop.tolist(), strict=True)], pa.binary()).cast(pa.string())
-        distinct = texts.dictionary_encode()
-        terms = pa.array([analyzer.text(x) for x in distinct.dictionary.to_pylist()], pa.string()).take(distinct.indices)
-        own = begins_of[row]
-        cells = pa.StructArray.from_arrays([texts, *(pa.array(x.astype(np.int32)) for x in (place + position_offset, starts - own, stop - own)), terms], ["text", "position", "start", "end", "term"])
-        bounds = np.append(0, np.cumsum(counts)).astype(np.int32)
+        parts = [_cut(part, analyzer, position_offset) for _, part in _slices(values)]
+        bounds = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)]))).astype(np.int32)
+        cells = pa.concat_arrays([c for c, _ in parts]) if parts else pa.array([], kind)
         return pa.ListArray.from_arrays(pa.array(bounds), cells, mask=pc.is_null(values))
 
     return found(value)
 
 
+def token_rows(docs: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer(), position_offset: int = 0) -> DataFrame:
+    """(key, text, position, start, end, term) as :func:`tokens` has them, a row each; a worker holds the tokens of one slice of texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, part in _slices(batch.column("text")):
+                cells, counts = _cut(part, analyzer, position_offset)
+                own = batch.column("key").take(pa.array(low + np.repeat(np.arange(len(counts)), counts)))
+                yield pa.RecordBatch.from_arrays([own, *cells.flatten()], ["key", "text", "position", "start", "end", "term"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, text string, position int, start int, end int, term string").withColumnRenamed("key", key)
+
+
 def normalized(value: Column, normalizer: Normalizer = Normalizer()) -> Column:
     """The whole text through a normalizer."""
     if normalizer.form is None and normalizer.case != "fold":

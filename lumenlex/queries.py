@@ -80,8 +80,8 @@ def _ranked(spark: SparkSession, sf_dir: str, repeat: bool = False) -> DataFrame
 
 def tokenize_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token with position and byte range."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.inline(analysis.tokens(F.col("text")))).select("doc_id", "position", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("text").alias("token"), "term")
+    rows = analysis.token_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "position", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("text").alias("token"), "term")
 
 
 def normalize_nfc_lower(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lumenlex.functions import analysis
 from lumenlex.functions.analysis import Analyzer, Normalizer, needs_normalize, normalized, split, tokens, words
 
 POOL = ["CAFÉ", "café", "ΣΠΊΤΙ", "Straße", "ΟΣ", "ﬁne", "x²", "İ", "a", "the.", "Å", "가"]
@@ -67,3 +69,17 @@ def test_ascii_stays_out_of_python(spark):
     rows = spark.createDataFrame([("Plain TEXT",), ("CAFÉ",), (None,)], "t string")
     out = rows.select(Analyzer().column(F.col("t")).alias("x"), normalized(F.col("t"), Normalizer("NFKC", "fold")).alias("y")).collect()
     assert [(r.x, r.y) for r in out] == [(["plain", "text"], "plain text"), (["café"], "café"), (None, None)]
+
+
+def test_token_rows_hold_one_slice(spark, monkeypatch):
+    """The rows of one text after the other, cut in slices of a few bytes; also where one text is longer than a slice."""
+    monkeypatch.setattr(analysis, "SLICE_BYTES", 16)
+    values = pa.array(texts())
+    parts = list(analysis._slices(values))
+    assert [x for _, part in parts for x in part.to_pylist()] == texts() and len(parts) > 20
+    assert all(sum(len((x or "").encode()) for x in part.to_pylist()) <= 16 or len(part) == 1 for _, part in parts)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "i int, t string")
+    want = rows.select("i", F.inline(tokens(F.col("t"), position_offset=2))).collect()
+    found = analysis.token_rows(rows, "i", "t", position_offset=2)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and found.columns == ["i", "text", "position", "start", "end", "term"]
+    assert analysis.token_rows(rows.limit(0), "i", "t").count() == 0
