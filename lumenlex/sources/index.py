@@ -9,16 +9,19 @@ doc_len), laid out by term so that Parquet prunes to a query's terms; ``terms``
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlex.errors import DuplicateDocument, MissingAnalyzer, StoredIndexError, UnknownField
-from lumenlex.functions.analysis import MAX_FIELDS, Analyzer, Tokenizer
+from lumenlex.functions.analysis import MAX_FIELDS, Analyzer
 from lumenlex.storage import Scratch, fresh_path
 
 
@@ -89,11 +92,49 @@ class Index:
         return self.documents.select("doc_id", F.explode("lengths").alias("field_id", "length"))
 
 
+#: Tokens that are counted at once inside an Arrow batch.
+SLICE_TOKENS = 1 << 20
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of (doc_id, field_id, present, terms) rows, and for each row one without a term: term_freq 1 if it has a value, doc_len its length.
+
+    A slice of rows leaves in the order of terms, so that the sort that follows merges runs.
+    """
+    names = ["field_id", "term", "doc_id", "term_freq", "doc_len"]
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low] - sizes[low]
+            high = max(low + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, side="right")))
+            rows, size = batch.slice(low, high - low), sizes[low:high]
+            low = high
+            docs, fields = rows.column("doc_id"), rows.column("field_id")
+            yield pa.RecordBatch.from_arrays([fields, pa.nulls(len(size), pa.string()), docs, rows.column("present").cast(pa.int32()), pa.array(size.astype(np.int32))], names)
+            tokens = rows.column("terms").flatten()  # of lists that are not null
+            if not len(tokens):
+                continue
+            coded = tokens.dictionary_encode()
+            by_term = pc.sort_indices(coded.dictionary.cast(pa.binary()))  # in order of bytes, as Spark has it
+            rank = np.empty(len(by_term), np.int64)
+            rank[by_term.to_numpy()] = np.arange(len(by_term))
+            by_row = np.lexsort((pc.fill_null(docs, -(1 << 63)).to_numpy(), fields.to_numpy()))
+            place = np.empty(len(by_row), np.int64)
+            place[by_row] = np.arange(len(by_row))
+            held, counts = np.unique(rank[coded.indices.to_numpy()] * len(size) + np.repeat(place, size), return_counts=True)
+            of = pa.array(by_row[held % len(size)])
+            term = coded.dictionary.take(by_term).take(pa.array(held // len(size)))
+            yield pa.RecordBatch.from_arrays([fields.take(of), term, docs.take(of), pa.array(counts.astype(np.int32)), pa.array(size.astype(np.int32)).take(of)], names)
+
+
 def build_index(values: DataFrame, fields: Sequence[Field], path: str | None = None) -> Index:
     """An index of (doc_id, field_id, value) rows, written to ``path`` or the shared folder.
 
     Null values are absent fields and empty ones have length 0; values that
-    repeat a document's field are merged.  The postings of a term that a large
+    repeat a document's field are merged.  Texts are analysed once, and terms
+    counted inside each row's batch before anything is shuffled.  The postings of a term that a large
     share of the corpus has are split over several partitions and files.
     """
     spark = values.sparkSession
@@ -105,40 +146,28 @@ def build_index(values: DataFrame, fields: Sequence[Field], path: str | None = N
             raise MissingAnalyzer(r.field_id)
 
     present = F.col("value").isNotNull()
-    tokenizers: dict[Tokenizer, list[int]] = {}
-    for f in fields:
-        tokenizers.setdefault(f.analyzer.tokenizer, []).append(f.id)
-    size = F.coalesce(*(F.when(F.col("field_id").isin(ids), F.size(t.column(F.col("value")))) for t, ids in tokenizers.items()))
-    cells = values.groupBy("doc_id", "field_id").agg(F.count_if(present).alias("rows"), F.sum(F.when(present, size).otherwise(0)).cast("int").alias("length"))
-    here = F.filter(F.collect_list(F.struct("field_id", "length", "rows")), lambda x: x["rows"] > 0)
-    documents = cells.groupBy("doc_id").agg(F.map_from_entries(F.transform(here, lambda x: F.struct(x["field_id"], x["length"]))).alias("lengths"), (F.max("rows") > 1).alias("merged"))
-    documents.write.parquet(f"{path}/documents")
-    documents = spark.read.parquet(f"{path}/documents")
-    merged = not documents.where("merged").isEmpty()
-
     analyzers: dict[Analyzer, list[int]] = {}
     for f in fields:
         analyzers.setdefault(f.analyzer, []).append(f.id)
-    shares = [values.where(F.col("field_id").isin(ids) & present).select("doc_id", "field_id", a.column(F.col("value")).alias("terms")) for a, ids in analyzers.items()]
-    texts = shares[0]
-    for s in shares[1:]:
-        texts = texts.union(s)
-    words = texts.select("field_id", "doc_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
-    if merged:
-        words = words.drop("doc_len")
-        postings = words.groupBy("field_id", "term", "doc_id").agg(F.count("*").cast("int").alias("term_freq"))
-        lengths = documents.select("doc_id", F.explode("lengths").alias("field_id", "doc_len"))
-        postings = postings.join(lengths, ["doc_id", "field_id"])
-    else:
-        postings = words.groupBy("field_id", "term", "doc_id", "doc_len").agg(F.count("*").cast("int").alias("term_freq"))
-    order = ["field_id", "term", "doc_id"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [values.where(F.col("field_id").isin(ids)).select("doc_id", "field_id", present.alias("present"), a.column(F.col("value")).alias("terms")) for a, ids in analyzers.items()]
     with Scratch(spark, "postings") as tables:  # stored, as the sort samples it first
-        stored = tables.table(postings.select(*order, "term_freq", "doc_len"), "postings")
-        # By ranges that end inside a term as well, so that a frequent one fills several partitions.
-        stored.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+        stored = tables.table(reduce(DataFrame.union, shares).mapInArrow(_counted, "field_id int, term string, doc_id long, term_freq int, doc_len int"), "counted")
+        cells = stored.where("term IS NULL").groupBy("doc_id", "field_id").agg(F.sum("term_freq").alias("rows"), F.sum("doc_len").cast("int").alias("length"))
+        here = F.filter(F.collect_list(F.struct("field_id", "length", "rows")), lambda x: x["rows"] > 0)
+        documents = cells.groupBy("doc_id").agg(F.map_from_entries(F.transform(here, lambda x: F.struct(x["field_id"], x["length"]))).alias("lengths"), (F.max("rows") > 1).alias("merged"))
+        documents.write.parquet(f"{path}/documents")
+        documents = spark.read.parquet(f"{path}/documents")
+        postings = stored.where("term IS NOT NULL")
+        if not documents.where("merged").isEmpty():
+            lengths = documents.select("doc_id", F.explode("lengths").alias("field_id", "doc_len"))
+            summed = postings.groupBy("field_id", "term", "doc_id").agg(F.sum("term_freq").cast("int").alias("term_freq"))
+            postings = tables.table(summed.join(lengths, ["doc_id", "field_id"]).select("field_id", "term", "doc_id", "term_freq", "doc_len"), "merged")
+        # By ranges that end inside a term as well, so that a frequent one fills several partitions. The term leads, as its first bytes decide most comparisons.
+        order = ["term", "field_id", "doc_id"]
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        postings.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
     terms = spark.read.parquet(f"{path}/postings").groupBy("field_id", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.min("doc_id").alias("first_doc"))
-    terms.sortWithinPartitions("field_id", "term").write.parquet(f"{path}/terms")
+    terms.sortWithinPartitions("term", "field_id").write.parquet(f"{path}/terms")
 
     per_field = documents.select(F.explode("lengths").alias("field_id", "length")).groupBy("field_id").agg(F.count("*").alias("doc_count"), F.sum("length").alias("total_terms"))
     whole = documents.agg(F.lit(None).cast("int").alias("field_id"), F.count("*").alias("doc_count"), F.lit(0).cast("long").alias("total_terms"))

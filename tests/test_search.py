@@ -4,6 +4,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from lumenlex.operators import collect
 from lumenlex.operators.predicates import AnyOf, Eq, In, NoneOf, Range
 from lumenlex.operators.search import compiled, match
 from lumenlex.plans.query import Constant, External, Or, Phrase, Term, Where, parse
+from lumenlex.sources import index as sources
 from lumenlex.sources.index import Field, build_index, field_values, open_index
 
 TWO = (Field(1, "title"), Field(2, "body"))
@@ -318,3 +320,15 @@ def test_frequent_terms_are_split(spark):
     index = build_index(rows, (Field(1, "t"),))
     files = index.postings.where("term = 'all'").groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in files) == 20_000 and len(files) > 1
+
+
+def test_terms_are_counted_before_any_shuffle(monkeypatch):
+    """A row for each distinct term of a row, in order of terms within a slice, and one for the row itself."""
+    monkeypatch.setattr(sources, "SLICE_TOKENS", 4)
+    terms = [["b", "a", "b"], None, [], ["é", "a", "a", "z", "a", "\U0001f600", "\uffee"], ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, None, 7, 8, 3]), pa.array([2, 1, 1, 1, 1], pa.int32()), pa.array([True, False, True, True, True]), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "field_id", "present", "terms"])
+    found = [b.to_pylist() for b in sources._counted(iter([batch]))]
+    own = [tuple(x.values()) for b in found for x in b if x["term"] is None]
+    assert own == [(2, None, 5, 1, 3), (1, None, None, 0, 0), (1, None, 7, 1, 0), (1, None, 8, 1, 7), (1, None, 3, 1, 1)]
+    rest = [[tuple(x.values()) for x in b] for b in found if b[0]["term"] is not None]
+    assert rest == [[(2, "a", 5, 1, 3), (2, "b", 5, 2, 3)], [(1, "a", 8, 3, 7), (1, "z", 8, 1, 7), (1, "é", 8, 1, 7), (1, "\uffee", 8, 1, 7), (1, "\U0001f600", 8, 1, 7)], [(1, "a", 3, 1, 1)]]
