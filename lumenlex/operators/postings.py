@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlex.operators.numbering import numbered, numbered_within
+from lumenlex.operators.numbering import numbered
 from lumenlex.storage import materialize
 
 BLOCK = 2
@@ -28,17 +29,74 @@ def term_dictionary(rows: DataFrame) -> DataFrame:
 
 
 def posting_blocks(postings: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Each term's postings in blocks of ``size`` (1 at least) documents: bounds, last document, highest count, least length."""
+    """Each term's postings in blocks of ``size`` (1 at least) documents: bounds, last document, highest count, least length.
+
+    One range-partitioned sort; blocks are closed inside its partitions.  Only
+    what an earlier partition can shift, the first term of each, and the last
+    block of each, which may go on in the next one, are grouped after that.
+    """
     size = max(1, size)
-    rows = numbered_within(postings, ["field_id", "term"], "doc_id", "at")
-    blocks = rows.groupBy("field_id", "term", F.floor(F.col("at") / size).cast("int").alias("block")).agg(
-        F.min("at").cast("int").alias("start"),
-        (F.max("at") + 1).cast("int").alias("end"),
-        F.max("doc_id").alias("end_doc"),
-        F.max("term_freq").alias("max_term_freq"),
-        F.min("doc_len").alias("min_doc_length"),
+    spark = postings.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["term", "field_id", "doc_id"]
+    rows = postings.where("field_id IS NOT NULL AND term IS NOT NULL AND doc_id IS NOT NULL").select("field_id", "term", "doc_id", "term_freq", "doc_len")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    figures = ["start", "end", "end_doc", "max_term_freq", "min_doc_length"]
+    names = ["part", "open", "field_id", "term", *figures]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = held = None  # the partition's first term, the last one seen and its number of postings, the last block, as its parts
+        count, alone = 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            field, term = batch.column("field_id"), batch.column("term")
+            ends = [(field[i].as_py(), term[i].as_py()) for i in (0, n - 1)]
+            first = first or ends[0]
+            new = np.append(ends[0] != last, pc.or_(pc.not_equal(field[1:], field[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)).astype(bool)
+            alone = alone and ends[0] == first  # whether the partition has had no other term yet
+            begins = np.flatnonzero(new)
+            if not new[0]:
+                begins = np.append(0, begins)
+            at = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+            at[: begins[1] if len(begins) > 1 else n] += 0 if new[0] else count
+            count, last = int(at[-1]) + 1, ends[1]
+            shifted = np.zeros(n, bool)
+            if alone:
+                shifted[: begins[1] if len(begins) > 1 else n] = True
+                alone = len(begins) == 1
+            cut = np.flatnonzero(shifted | new | (at % size == 0) | (np.arange(n) == 0))
+            stop = np.append(cut[1:], n) - 1
+            doc, freq, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "term_freq", "doc_len"))
+            made = pa.table(
+                [batch.column("part").take(pa.array(cut)), pa.array(shifted[cut]), field.take(pa.array(cut)), term.take(pa.array(cut)), pa.array(at[cut]), pa.array(at[stop] + 1), pa.array(doc[stop]), pa.array(np.maximum.reduceat(freq, cut)), pa.array(np.minimum.reduceat(length, cut))],
+                names,
+            )
+            if held is not None:
+                if not new[0] and not shifted[0] and at[0] % size:  # goes on with the block that was held
+                    head = made.slice(0, 1).to_pylist()[0]
+                    head |= {"start": held["start"], "max_term_freq": max(held["max_term_freq"], head["max_term_freq"]), "min_doc_length": min(held["min_doc_length"], head["min_doc_length"])}
+                    made = pa.concat_tables([pa.Table.from_pylist([head], made.schema), made.slice(1)])
+                else:
+                    yield from pa.Table.from_pylist([held], made.schema).to_batches()
+            held = made.slice(made.num_rows - 1).to_pylist()[0]
+            kinds = made.schema
+            yield from made.slice(0, made.num_rows - 1).combine_chunks().to_batches()
+        if held is not None:
+            yield from pa.Table.from_pylist([held | {"open": True}], kinds).to_batches()
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    made = materialize(
+        ordered.mapInArrow(blocks, f"part int, open boolean, field_id {kind['field_id']}, term {kind['term']}, start long, end long, end_doc {kind['doc_id']}, max_term_freq {kind['term_freq']}, min_doc_length {kind['doc_len']}"), "blocks"
     )
-    return blocks
+    some = made.where("open")
+    before = Window.partitionBy("field_id", "term").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over two rows a partition
+    shifts = some.groupBy("part", "field_id", "term").agg(F.max("end").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    some = some.join(F.broadcast(shifts), ["part", "field_id", "term"]).withColumns({x: F.col(x) + F.col("_before") for x in ("start", "end")})
+    some = some.groupBy("field_id", "term", F.floor(F.col("start") / size).alias("block")).agg(*(f(x).alias(x) for f, x in zip((F.min, F.max, F.max, F.max, F.min), figures, strict=True)))
+    whole = made.where("NOT open").select("field_id", "term", F.floor(F.col("start") / size).alias("block"), *figures)
+    return whole.unionByName(some).withColumns({x: F.col(x).cast("int") for x in ("block", "start", "end")})
 
 
 def posting_list(rows: DataFrame) -> DataFrame:

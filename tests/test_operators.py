@@ -116,3 +116,19 @@ def test_numbering(spark):
     out = numbered(rows, [F.desc("k")], "n", start=5).orderBy("n").collect()
     assert [r.n for r in out] == list(range(5, 1005)) and [r.k for r in out] == sorted((r.k for r in out), reverse=True)
     assert numbered(rows.limit(0), [F.col("k")], "n").count() == 0
+
+
+def test_blocks_of_a_term_over_many_partitions(spark):
+    """Half of the rows are of one term; blocks go over partition ends, and nothing but a partition's ends is shuffled after the sort."""
+    rng = random.Random(6)
+    held = [(1, "the", d, rng.randint(1, 9), rng.randint(9, 99)) for d in range(0, 900, 3)] + [(f, f"w{rng.randrange(40)}", d, rng.randint(1, 9), 50) for f in (1, 2) for d in range(150)]
+    held = sorted({x[:3]: x for x in held}.values())
+    rows = spark.createDataFrame(held, "field_id int, term string, doc_id long, term_freq int, doc_len int").repartition(5)
+    for size in (1, 2, 7, 1000):
+        want = []
+        for f, t in sorted({x[:2] for x in held}):
+            own = [x for x in held if x[:2] == (f, t)]
+            want += [(f, t, i // size, i, min(i + size, len(own)), own[i : i + size][-1][2], max(x[3] for x in own[i : i + size]), min(x[4] for x in own[i : i + size])) for i in range(0, len(own), size)]
+        blocks = postings.posting_blocks(rows, size)
+        assert sorted(map(tuple, blocks.collect())) == want
+    assert "row_number" not in blocks._jdf.queryExecution().optimizedPlan().toString() and postings.posting_blocks(rows.limit(0)).count() == 0
