@@ -7,6 +7,7 @@ is the smallest document from a target on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from lumenlex.operators.numbering import numbered
 from lumenlex.storage import materialize
 
 BLOCK = 2
+#: Terms of targets up to which a seek names them to the scan.
+FEW = 64
 
 
 def term_dictionary(rows: DataFrame) -> DataFrame:
@@ -110,7 +113,8 @@ def seek(postings: DataFrame, targets: DataFrame) -> DataFrame:
 
     Past the end, and for a null target, doc_id is null and term_freq 0.
 
-    One range-partitioned sort of postings and targets together: a target takes
+    Postings of terms that no target names are left out.  One range-partitioned
+    sort of the others and targets together: a target takes
     the next posting of its partition, or else the first one of a later
     partition, for which one row a partition is kept.
     """
@@ -118,6 +122,12 @@ def seek(postings: DataFrame, targets: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = {"doc_id": postings.schema["doc_id"].dataType, "target": targets.schema["target"].dataType}
     some = postings.where("field_id IS NOT NULL AND term IS NOT NULL AND doc_id IS NOT NULL")
+    asked = targets.select("field_id", "term").where("field_id IS NOT NULL AND term IS NOT NULL").distinct()
+    few = asked.limit(FEW + 1).collect()
+    if len(few) <= FEW:  # by literals, which prune the scan
+        some = some.where(reduce(lambda a, b: a | b, ((F.col("field_id") == r.field_id) & (F.col("term") == r.term) for r in few), F.lit(False)))
+    else:
+        some = some.join(asked, ["field_id", "term"], "left_semi")
     rows = some.select("field_id", "term", F.col("doc_id").alias("at"), F.col("term_freq").cast("long").alias("freq"), F.lit(1).alias("posting"))
     rows = materialize(rows.unionByName(targets.select("field_id", "term", F.col("target").alias("at"), F.lit(None).cast("long").alias("freq"), F.lit(0).alias("posting"))), "unsought")
     # Backwards, so that the next posting is the last one seen; a target comes after a posting of its document.

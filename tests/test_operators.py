@@ -9,6 +9,7 @@ from lumenlex.functions.scoring import FLOAT_MAX, checked, combined, sat, some
 from lumenlex.operators import postings
 from lumenlex.operators.fusion import fuse
 from lumenlex.operators.numbering import numbered, numbered_within
+from lumenlex.storage import materialize
 
 
 def lists(spark, rows):
@@ -132,3 +133,14 @@ def test_blocks_of_a_term_over_many_partitions(spark):
         blocks = postings.posting_blocks(rows, size)
         assert sorted(map(tuple, blocks.collect())) == want
     assert "row_number" not in blocks._jdf.queryExecution().optimizedPlan().toString() and postings.posting_blocks(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_seek_stores_only_the_terms_it_is_asked_for(spark, monkeypatch, few):
+    sizes = []
+    monkeypatch.setattr(postings, "FEW", few, raising=False)
+    monkeypatch.setattr(postings, "materialize", lambda df, label: sizes.append((label, df.count())) or materialize(df, label))
+    rows = spark.createDataFrame([(1, t, d, 1) for t in "abcdefgh" for d in range(50)], "field_id int, term string, doc_id long, term_freq int")
+    targets = spark.createDataFrame([(1, "c", 7), (1, "none", 3)], "field_id int, term string, target long")
+    assert sorted(map(tuple, postings.seek(rows, targets).collect())) == [(1, "c", 7, 7, 1), (1, "none", 3, None, 0)]
+    assert sizes[0] == ("unsought", 52)
