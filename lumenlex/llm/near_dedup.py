@@ -18,7 +18,7 @@ random parts of each list meet in a further round, so that large groups of loose
 linked sets grow together.  At last the members outside a list's main component
 are joined to all of the list, which makes the result whole at every size.
 Inside the join, parities pass over most pairs; longer parities pass over most
-others; then the union's sketch estimates the index, and full sets verify what is
+others, in the last round inside the join as well; then the union's sketch estimates the index, and full sets verify what is
 left.
 
 Sets are held as 63-bit hashes of the shingles' bytes.
@@ -52,8 +52,9 @@ FIRST_OF = 8
 SMALL, CENTRES = 16, 3
 #: Members of a list that meet in a later round.
 MEET = 8
-#: All pairs left between components are tried once they are at most so many for each list entry.
-PAIRS_AN_ENTRY = 256
+#: All pairs left between components are tried once they are at most so many for each list entry; before that, parts of lists
+#: meet, which joins most of those that are linked, by rows in proportion to the entries.
+PAIRS_AN_ENTRY = 2
 #: Rounds before all pairs are tried in any case.
 ROUNDS = 2
 #: Words of 64 parities that go along in the lists: of the whole set below WHOLE values, of the sketch from there on.
@@ -213,12 +214,17 @@ def beside(pairs: DataFrame, side: DataFrame) -> DataFrame:
     return pairs
 
 
+def _parities_near(prefix: str = "") -> Column:
+    """Whether the parities of a set and of another, prefixed b_, differ in no more parts than similar sets' values can: a ninth of both sizes."""
+    apart = F.aggregate(F.zip_with(f"{prefix}parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return apart * (NUMERATOR + DENOMINATOR) <= (F.col(f"{prefix}n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR)
+
+
 def bounded(pairs: DataFrame, rows: DataFrame, tables: Scratch) -> DataFrame:
-    """Pairs whose sets' parities differ in no more parts than similar sets' values can: a ninth of both sizes."""
+    """Pairs whose sets' parities are near, see :func:`_parities_near`."""
     of = tables.table(wanted(pairs), "of")
     side = tables.table(rows.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "parity").join(small(of), "node"), "parities")
-    apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    out = tables.table(beside(pairs, small(side, FEW_PARITIES)).where(apart * (NUMERATOR + DENOMINATOR) <= (F.col("a_n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR)).select("a", "b"), "bounded")
+    out = tables.table(beside(pairs, small(side, FEW_PARITIES)).where(_parities_near("a_")).select("a", "b"), "bounded")
     tables.drop(of, side)
     return out
 
@@ -238,33 +244,59 @@ def estimated(pairs: DataFrame, rows: DataFrame, k: int, tables: Scratch) -> Dat
 
 def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, k: int) -> DataFrame:
     """Distinct pairs (a > b) of the asked (list, part, node, lower, root) and members of the same, in different components, of similar sizes and parities."""
+    # Of two that are both asked one asks the other.
     far = asked.select("list", "part", "node", "lower", "root").join(figures, "node")
     far = far.select("list", "part", *(F.col(c).alias(f"b_{c}") for c in ("lower", "root", *figures.columns)))
-    near = members.select("list", "part", "node", "lower", "root").join(figures, "node")
+    near = members.select("list", "part", "node", "lower", "root", "asks").join(figures, "node")
     # Parities that differ are at most the values that differ.
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(m).bitwiseXOR(F.col(f"b_{m}"))) for m in MASKS))
     of_sets = F.floor((F.col("n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR) / (NUMERATOR + DENOMINATOR))
     of_sketches = F.least("n", F.lit(k)) + F.least("b_n", F.lit(k)) - 2 * F.least("need", "b_need")
     close = apart <= F.when(F.greatest("n", "b_n") < WHOLE, of_sets).when(F.least("n", "b_n") >= WHOLE, of_sketches).otherwise(64 * MASK)
     alike = (F.col("n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("n") * NUMERATOR)
-    both = near.join(far, ["list", "part"]).where((F.col("root") != F.col("b_root")) & (F.col("lower") + F.col("b_lower") < 2) & alike & close)
+    both = near.join(far, ["list", "part"]).where((F.col("root") != F.col("b_root")) & (~F.col("asks") | (F.col("node") > F.col("b_node"))) & (F.col("lower") + F.col("b_lower") < 2) & alike & close)
+    if "parity" in figures.columns:
+        both = both.where(_parities_near())
     return both.select(F.greatest("node", "b_node").alias("a"), F.least("node", "b_node").alias("b")).distinct()
 
 
-def components(links: DataFrame, tables: Scratch) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node that has a link; by smallest labels and pointer jumping."""
-    edges = tables.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = tables.table(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
-    while True:
-        seen = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
-        low = labels.join(seen, labels.node == seen.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = tables.table(low.join(jump, "root").select("node", "was", F.least("root", "next").alias("root")), "labels")
-        tables.drop(labels)
-        if after.where("root <> was").isEmpty():
-            tables.drop(edges)
-            return after.select("node", "root")
-        labels = after.select("node", "root")
+def components(links: DataFrame, labels: DataFrame | None, tables: Scratch) -> DataFrame:
+    """(node, root): the smallest node reachable, for every node that has a link in ``links`` or in those that made ``labels``.
+
+    Links are held between roots. Each node goes to its smallest neighbour and on from there, and links are held between where
+    their ends have gone, until none is left: each time there are fewer, so that all rounds read few more than the links.
+    """
+    own = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    if labels is not None:
+        links = _moved(links, labels)
+        own = labels.unionByName(own.join(small(labels.select("node")), "node", "left_anti"))
+    labels, edges = tables.table(own, "labels"), tables.table(_ends(links), "edges")
+    while not edges.isEmpty():
+        goes = edges.union(edges.select("b", "a")).toDF("node", "to").groupBy("node").agg(F.least("node", F.min("to")).alias("root"))
+        goes = tables.table(goes, "goes")
+        for _ in range(2):
+            further = goes.join(small(goes.select(F.col("node").alias("root"), F.col("root").alias("next"))), "root").select("node", F.col("next").alias("root"))
+            further = tables.table(further, "goes")
+            tables.drop(goes)
+            goes = further
+        ahead = small(goes.select(F.col("node").alias("root"), F.col("root").alias("next")))
+        after = tables.table(labels.join(ahead, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        fewer = tables.table(_ends(_moved(edges, goes)), "edges")
+        tables.drop(labels, edges, goes)
+        labels, edges = after, fewer
+    tables.drop(edges)
+    return labels
+
+
+def _moved(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between the roots of their ends, where these have one."""
+    for x in "ab":
+        links = links.join(small(labels.select(F.col("node").alias(x), F.col("root").alias("_root"))), x, "left").withColumn(x, F.coalesce("_root", x)).drop("_root")
+    return links.select("a", "b")
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text", k: int = SKETCH) -> DataFrame:
@@ -287,7 +319,6 @@ def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: S
     lists = inverted_lists(nodes, tables)
     listed = tables.table(lists.select("node").distinct(), "listed")
     figures = tables.table(rows.select(F.col("uid").alias("node"), F.col("n_shingles").alias("n"), "need", *MASKS).join(small(listed), "node"), "figures")
-    links: DataFrame | None = None
     labels: DataFrame | None = None
 
     for turn in range(ROUNDS + 1):
@@ -295,9 +326,9 @@ def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: S
         final = False
         if not turn:
             # Each node is a component yet. In some of the lists, as similar sets share many, the smallest node of each salt meets all others.
-            members = lists.where(F.pmod(F.col("list"), F.lit(FIRST_OF)) == 0).select("list", "node", "lower", "size", F.col("node").alias("root"), one)
+            members = lists.where(F.pmod(F.col("list"), F.lit(FIRST_OF)) == 0).select("list", "node", "lower", "size", F.col("node").alias("root"), F.lit(False).alias("asks"), one)
             salt = F.when(F.col("size") > SMALL, F.pmod(F.xxhash64("node"), F.lit(CENTRES))).otherwise(0).alias("salt")
-            asked = members.where("lower = 0").groupBy("list", "part", salt).agg(F.min("node").alias("node"), F.lit(0).alias("lower")).withColumn("root", F.col("node"))
+            asked = members.where("lower = 0").groupBy("list", "part", salt).agg(F.min("node").alias("node"), F.lit(0).alias("lower")).withColumns({"root": F.col("node"), "asks": F.lit(False)})
         else:
             members = lists.join(small(labels), "node", "left").withColumn("root", F.coalesce("root", "node")) if labels else lists.withColumn("root", F.col("node"))
             by_root = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -309,10 +340,14 @@ def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: S
             members = tables.table(members.join(of_list, "list").select("list", "node", "lower", "root", "main", "all"), "members")
             final = left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
             part = one if final else F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.ceil(F.col("all") / MEET)).alias("part")
-            members = members.select("list", "node", "lower", "root", "main", part)
-            asked = members.where("root <> main")
-        pairs = tables.table(_close(members, asked, figures, k), "pairs")
-        near = bounded(pairs, rows, tables)
+            members = members.select("list", "node", "lower", "root", (F.col("root") != F.col("main")).alias("asks"), part)
+            asked = members.where("asks")
+        if final:  # all pairs meet: the long parities go along, so that fewer leave the join
+            long = tables.table(rows.select(F.col("uid").alias("node"), "parity").join(figures, "node"), "figures")
+            pairs = near = tables.table(_close(members, asked, long, k), "pairs")
+        else:
+            pairs = tables.table(_close(members, asked, figures, k), "pairs")
+            near = bounded(pairs, rows, tables)
         close = estimated(near, rows, k, tables)
         tables.drop(pairs, near)
         found = close.where("sure").select("a", "b")
@@ -322,8 +357,7 @@ def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: S
             found = found.unionByName(tables.table(verified(unsure, texts, words), "links"))
             tables.drop(texts)
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, tables)
+            labels = components(found, labels, tables)
         if final:
             break
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlex.llm import near_dedup, topk_search
+from lumenlex.storage import Scratch
 
 
 def components(rows, words):
@@ -163,3 +164,33 @@ def test_top_k_of_few(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk_search.top_k(frame, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 768 + 512 * 1024)]
     assert topk_search.top_k(frame.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_components_hold_fewer_links_each_time(spark, monkeypatch):
+    """Against union by hand: chains in and out of order, stars and random links, in two rounds; all steps hold few more links than there are."""
+    rng = random.Random(8)
+    chain, mixed = list(range(1000, 1040)), rng.sample(range(2000, 2040), 40)
+    links = [*zip(chain[1:], chain, strict=False), *zip(mixed[1:], mixed, strict=False), *((x, 1) for x in range(2, 90)), *((rng.randrange(3000, 3060), rng.randrange(3000, 3060)) for _ in range(40))]
+    links = [(max(x), min(x)) for x in links if x[0] != x[1]]
+    rng.shuffle(links)
+    rows, table = [], Scratch.table
+
+    def counted(self, df, label):
+        out = table(self, df, label)
+        rows.append(out.count() if label == "edges" else 0)
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    with Scratch(spark, "test") as tables:
+        labels = near_dedup.components(spark.createDataFrame(links[:100], "a long, b long"), None, tables)
+        labels = near_dedup.components(spark.createDataFrame(links[100:], "a long, b long"), labels, tables)
+        found = {r.node: r.root for r in labels.collect()}
+    want = {x: x for pair in links for x in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(want[a], want[b])
+            changed |= want[a] != low or want[b] != low
+            want[a] = want[b] = low
+    assert found == want and sum(rows) < 2 * len(links)
