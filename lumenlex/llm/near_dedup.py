@@ -17,9 +17,9 @@ Some lists are joined to a few centres first.  Where components are left apart,
 random parts of each list meet in a further round, so that large groups of loosely
 linked sets grow together.  At last the members outside a list's main component
 are joined to all of the list, which makes the result whole at every size.
-Inside the join, parities pass over most pairs; longer parities pass over most
-others, in the last round inside the join as well; then the union's sketch estimates the index, and full sets verify what is
-left.
+Lists of which all members have met in one part are left out of that.  Inside the join, parities pass over most pairs, a few
+of them where sets are small; longer parities pass over most others, in the last round inside the join as well where sets
+are not small; then the union's sketch estimates the index, and full sets verify what is left.
 
 Sets are held as 63-bit hashes of the shingles' bytes.
 """
@@ -61,6 +61,9 @@ ROUNDS = 2
 MASK, WHOLE = 16, 1400
 #: Words of 64 parities of the whole set that pairs are held against.
 SET_MASK = 32
+#: Lists of at most this step of sizes, so of sets of at most 413 values, take along so many words only, and in the last round
+#: MASK and no longer ones. Of most other sets far more parities differ than the ninth of both sizes that similar sets' can.
+NARROW, NARROW_MASK = 26, 4
 MASKS = [f"m{i}" for i in range(MASK)]
 #: Nodes up to which their parities, or their sketches, are broadcast; a few MB.
 FEW_PARITIES, FEW_SKETCHES = 1 << 14, 1 << 11
@@ -142,7 +145,7 @@ def inverted_lists(nodes: DataFrame, tables: Scratch) -> DataFrame:
     takes no part.
     """
     prefix = F.least(F.lit(PREFIX), F.floor(F.col("n") / DENOMINATOR).cast("int") + SHARED)
-    step = F.floor(F.ln("n") / F.ln(F.lit(DENOMINATOR / NUMERATOR)))  # of two similar sets, the steps are at most one apart
+    step = _step("n")  # of two similar sets, the steps are at most one apart
     both = nodes.where(F.col("n") >= LEAST).select("node", (F.col("n") < TINY).alias("tiny"), F.slice("head", F.lit(1), prefix).alias("head"), F.posexplode(F.array(step, step + 1)).alias("lower", "bucket"))
     entries = both.select("node", "tiny", "lower", F.explode(F.transform("head", lambda x: F.xxhash64(x, "bucket"))).alias("list"))
     shared = tables.table(_of_lists(entries).select("list"), "shared")
@@ -150,19 +153,25 @@ def inverted_lists(nodes: DataFrame, tables: Scratch) -> DataFrame:
     held = held.where(F.size("held") >= F.when(F.col("tiny"), SHARED - 1).otherwise(SHARED))
 
     def pairs(x: Column, i: Column) -> Column:
-        rest = F.filter(F.slice("held", i + 2, F.size("held")), lambda y: F.col("tiny") | (x % (SHARED - 1) == y % (SHARED - 1)))
+        classes = F.lit(SHARED - 1)  # by pmod, as remainders of either sign would be more classes than shared values fill
+        rest = F.filter(F.slice("held", i + 2, F.size("held")), lambda y: F.col("tiny") | (F.pmod(x, classes) == F.pmod(y, classes)))
         return F.transform(rest, lambda y: F.xxhash64(x, y))
 
     dealt = tables.table(held.select("node", "lower", F.explode(F.flatten(F.transform("held", pairs))).alias("list")), "dealt")
     tables.drop(shared)
-    out = tables.table(dealt.join(_of_lists(dealt).select("list", "size"), "list"), "lists")
+    by_list = dealt.repartition("list")  # counted and joined from one shuffle
+    out = tables.table(by_list.join(_of_lists(by_list).select("list", "size"), "list"), "lists")
     tables.drop(dealt)
     return out
 
 
+def _step(size: str) -> Column:
+    return F.floor(F.ln(size) / F.ln(F.lit(DENOMINATOR / NUMERATOR)))
+
+
 def _of_lists(entries: DataFrame) -> DataFrame:
     """Lists in which any two nodes may meet."""
-    return entries.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("lower").alias("least")).where("size > 1 AND least = 0")
+    return entries.groupBy("list").agg(F.count("node").alias("size"), F.min("lower").alias("least")).where("size > 1 AND least = 0")
 
 
 def full_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int, tables: Scratch) -> DataFrame:
@@ -242,21 +251,42 @@ def estimated(pairs: DataFrame, rows: DataFrame, k: int, tables: Scratch) -> Dat
     return out
 
 
-def _close(members: DataFrame, asked: DataFrame, figures: DataFrame, k: int) -> DataFrame:
-    """Distinct pairs (a > b) of the asked (list, part, node, lower, root) and members of the same, in different components, of similar sizes and parities."""
-    # Of two that are both asked one asks the other.
-    far = asked.select("list", "part", "node", "lower", "root").join(figures, "node")
-    far = far.select("list", "part", *(F.col(c).alias(f"b_{c}") for c in ("lower", "root", *figures.columns)))
-    near = members.select("list", "part", "node", "lower", "root", "asks").join(figures, "node")
+def _figured(entries: DataFrame, figures: DataFrame) -> DataFrame:
+    """Entries with the figures of their nodes; see ``NARROW`` for lists of small sets. Words that a row is without compress to nothing."""
+    narrow = _step("n") + F.col("lower") <= NARROW
+    rows = entries.join(figures, "node")
+    none = F.lit(0).cast("long")
+    if "parity" in figures.columns:  # which holds all that shorter parities of whole sets do
+        rows = rows.withColumns({m: F.when(narrow | (F.col("n") >= WHOLE), F.col(m)).otherwise(none) for m in MASKS})
+        return rows.withColumn("parity", F.when(~narrow, F.col("parity")))
+    # A set's parities in fewer parts are those of the parts that fall together, added.
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, MASKS[i::NARROW_MASK])) for i in range(NARROW_MASK)]
+    return rows.withColumns({m: F.when(narrow, folded[i] if i < NARROW_MASK else none).otherwise(F.col(m)) for i, m in enumerate(MASKS)})
+
+
+def _close(members: DataFrame, asked: DataFrame | None, figures: DataFrame, k: int) -> DataFrame:
+    """Distinct pairs (a > b) of the asked (list, part, node, lower, root) and members of the same, in different components, of similar sizes and parities.
+
+    Without ``asked``, members meet each other from one shuffle, and those that ask are told apart inside the join.
+    """
+    columns = ["list", "part", "node", "lower", "root", "asks"]
+    near = _figured(members.select(*columns), figures)
+    if asked is None:
+        near = far = near.repartition("list", "part")
+        once = (F.col("asks") | F.col("b_asks")) & (F.col("node") > F.col("b_node"))
+    else:
+        far = _figured(asked.select(*columns), figures)
+        once = ~F.col("asks") | (F.col("node") > F.col("b_node"))  # of two that are both asked one asks the other
+    far = far.select("list", "part", *(F.col(c).alias(f"b_{c}") for c in ("lower", "root", "asks", *figures.columns)))
     # Parities that differ are at most the values that differ.
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(m).bitwiseXOR(F.col(f"b_{m}"))) for m in MASKS))
     of_sets = F.floor((F.col("n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR) / (NUMERATOR + DENOMINATOR))
     of_sketches = F.least("n", F.lit(k)) + F.least("b_n", F.lit(k)) - 2 * F.least("need", "b_need")
     close = apart <= F.when(F.greatest("n", "b_n") < WHOLE, of_sets).when(F.least("n", "b_n") >= WHOLE, of_sketches).otherwise(64 * MASK)
     alike = (F.col("n") * DENOMINATOR >= F.col("b_n") * NUMERATOR) & (F.col("b_n") * DENOMINATOR >= F.col("n") * NUMERATOR)
-    both = near.join(far, ["list", "part"]).where((F.col("root") != F.col("b_root")) & (~F.col("asks") | (F.col("node") > F.col("b_node"))) & (F.col("lower") + F.col("b_lower") < 2) & alike & close)
+    both = near.join(far, ["list", "part"]).where((F.col("root") != F.col("b_root")) & once & (F.col("lower") + F.col("b_lower") < 2) & alike & close)
     if "parity" in figures.columns:
-        both = both.where(_parities_near())
+        both = both.where(F.col("parity").isNull() | _parities_near())
     return both.select(F.greatest("node", "b_node").alias("a"), F.least("node", "b_node").alias("b")).distinct()
 
 
@@ -331,7 +361,8 @@ def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: S
             asked = members.where("lower = 0").groupBy("list", "part", salt).agg(F.min("node").alias("node"), F.lit(0).alias("lower")).withColumns({"root": F.col("node"), "asks": F.lit(False)})
         else:
             members = lists.join(small(labels), "node", "left").withColumn("root", F.coalesce("root", "node")) if labels else lists.withColumn("root", F.col("node"))
-            by_root = members.groupBy("list", "root").agg(F.count(F.lit(1)).alias("c"))
+            members = members.select("list", "node", "lower", "root").repartition("list")  # counted and joined from one shuffle
+            by_root = members.groupBy("list", "root").agg(F.count("node").alias("c"), F.min("lower").alias("lower"))
             of_list = by_root.groupBy("list").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("main"))
             of_list = tables.table(of_list.where("roots > 1").select("list", F.col("size").alias("all"), F.col("main.c").alias("c"), F.col("main.root").alias("main")), "open")
             left = of_list.agg(F.sum("all").alias("entries"), F.sum((F.col("all") - F.col("c")) * F.col("all")).alias("pairs")).first()
@@ -341,10 +372,13 @@ def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: S
             final = left.pairs <= PAIRS_AN_ENTRY * left.entries or turn == ROUNDS
             part = one if final else F.pmod(F.xxhash64("node", "list", F.lit(turn)), F.ceil(F.col("all") / MEET)).alias("part")
             members = members.select("list", "node", "lower", "root", (F.col("root") != F.col("main")).alias("asks"), part)
-            asked = members.where("asks")
+            asked = members.where("asks") if final else None  # parts are of few members, so those that do not ask may be passed over inside the join
         if final:  # all pairs meet: the long parities go along, so that fewer leave the join
-            long = tables.table(rows.select(F.col("uid").alias("node"), "parity").join(figures, "node"), "figures")
-            pairs = near = tables.table(_close(members, asked, long, k), "pairs")
+            last = small(tables.table(members.select("node").distinct(), "left"))
+            parity = rows.where(_step("n_shingles") >= NARROW).select(F.col("uid").alias("node"), "parity").join(last, "node")
+            long = tables.table(figures.join(last, "node").join(parity, "node", "left"), "figures")
+            pairs = tables.table(_close(members, asked, long, k), "pairs")
+            near = bounded(pairs, rows, tables)
         else:
             pairs = tables.table(_close(members, asked, figures, k), "pairs")
             near = bounded(pairs, rows, tables)
@@ -360,6 +394,8 @@ def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: S
             labels = components(found, labels, tables)
         if final:
             break
+        if turn:  # the others were one part each, in which all pairs met
+            lists = lists.where(F.col("size") > MEET)
 
     placed = nodes.select("set_id", "rows", "key", "node")
     placed = placed.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")) if labels else placed.withColumn("root", F.col("node"))

@@ -46,6 +46,22 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Session setting by which a query's shuffle files go when it ends, rather than when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _store(df: DataFrame, path: str) -> DataFrame:
+    """Writes ``df`` and reads it back; nothing reads the shuffle files behind it again, so they go at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Scratch:
     """Tables of one operator's run in a folder of their own, deleted when the block ends or earlier.
 
@@ -64,8 +80,7 @@ class Scratch:
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.folder}/{label}-{len(self.paths)}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = _store(df, path)
         self.paths.append((out, path))
         return out
 
@@ -82,6 +97,4 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     Unlike a cached or locally checkpointed frame, the files outlive any
     executor, so nothing upstream is ever computed again.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _store(df, fresh_path(df.sparkSession, label))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenlex import storage
 from lumenlex.llm import near_dedup, topk_search
 from lumenlex.storage import Scratch
 
@@ -194,3 +195,48 @@ def test_components_hold_fewer_links_each_time(spark, monkeypatch):
             changed |= want[a] != low or want[b] != low
             want[a] = want[b] = low
     assert found == want and sum(rows) < 2 * len(links)
+
+
+def test_small_sets_that_share_just_enough(spark):
+    """Sets of 8 to 14 words, one of them replaced or left out: often five values are all that the first ones of two sets share."""
+    rows = []
+    for i in range(600):
+        base = [f"b{i}x{j}" for j in range(8 + i % 7)]
+        at = i % len(base)
+        other = [*base[:at], *[f"n{i}"] * (i % 2 and len(base) > 8), *base[at + 1 :]]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert [r.doc_id for r in out if r.component_id != r.doc_id - r.doc_id % 2] == []
+
+
+def test_lists_that_met_in_one_part_are_done(spark, monkeypatch):
+    """The last round holds no list of which all members met in the round of parts."""
+    monkeypatch.setattr(near_dedup, "PAIRS_AN_ENTRY", 0)
+    sizes, table = [], Scratch.table
+
+    def seen(self, df, label):
+        out = table(self, df, label)
+        if label == "members":
+            sizes.append(out.groupBy("list").count().agg(F.min("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(Scratch, "table", seen)
+    rows = corpus(7)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(components(rows, 2))
+    assert sizes[0] <= near_dedup.MEET and all(x > near_dedup.MEET for x in sizes[1:])
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    """Shuffle files of a table go when it is stored; the session's own setting stays."""
+    setting = spark.conf.get(storage.CLEANUP)
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    with Scratch(spark, "test") as tables:
+        tables.table(spark.range(1000).groupBy((F.col("id") % 7).alias("x")).count(), "x")
+        assert not files() - before
+    assert spark.conf.get(storage.CLEANUP) == setting
