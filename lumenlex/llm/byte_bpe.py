@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 from lumenlex.llm.chunks import ChunkEncoder, slices, split_at_words, to_lists
 
+#: Bytes of text whose pre-tokens are merged at once: each merge rank that occurs costs one round of the queue, however few pairs it has.
+MERGED_BYTES = 8 << 20
+
 
 class BitmapQueue:
     """Positions by merge rank; ``pop`` gives those of the lowest rank."""
@@ -208,7 +211,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(path, pattern)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=MERGED_BYTES):
                 flat, where = encoder(part.column("text"))
                 ids = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("key"), ids], ["key", "ids"])
@@ -251,7 +254,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, vocab = chunk_encoder(path, pattern), vocabulary(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=MERGED_BYTES):
                 flat, where = encoder(part.column("text"))
                 raw, bounds = memoryview(np.ascontiguousarray(flat.astype("<u4", copy=False))).cast("B"), where.tolist()
                 ids_sha = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are handled at once inside an Arrow batch.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are handled at once inside an Arrow batch; a worker's copies of them and indices are tens of times as large.
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -132,14 +132,15 @@ class ChunkEncoder:
         return flat, (where - where[0])[np.searchsorted(starts, ends)]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of bounded text bytes; a longer text is a piece of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of bounded text bytes; a longer text is a piece of its own. After the last, memory that Arrow has freed but kept goes back."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(lengths, dtype=np.int64) // SLICE_BYTES
+    group = np.cumsum(lengths, dtype=np.int64) // size
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(lengths)], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def to_lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:

@@ -189,7 +189,7 @@ def full_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, te
 
     if again:
         texts = texts.select("node", "set_id", "text").mapInArrow(own, "node long, text string").dropDuplicates(["node"])
-    return tables.table(texts.select("node", "text"), "texts")
+    return tables.table(texts.select("node", "text"), "texts", small_batches=True)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
 
 
 def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: Scratch) -> DataFrame:
-    rows = tables.table(signatures(docs, key, text, words, k).withColumn("uid", F.monotonically_increasing_id()), "signatures")
+    rows = tables.table(signatures(docs, key, text, words, k).withColumn("uid", F.monotonically_increasing_id()), "signatures", small_batches=True)
     full = rows.where("n_shingles > 0").withColumn("sketch", F.slice("sketch", 1, PREFIX))
     nodes = full.groupBy("set_id").agg(F.min("uid").alias("node"), F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("head"))
     nodes = tables.table(nodes, "nodes")
@@ -388,7 +388,7 @@ def _decided(docs: DataFrame, words: int, key: str, text: str, k: int, tables: S
         unsure = close.where("NOT sure").select("a", "b")
         if not unsure.isEmpty():
             texts = full_texts(unsure, nodes, docs, key, text, words, tables)
-            found = found.unionByName(tables.table(verified(unsure, texts, words), "links"))
+            found = found.unionByName(tables.table(verified(unsure, texts, words), "links", small_batches=True))
             tables.drop(texts)
         if not found.isEmpty():
             labels = components(found, labels, tables)

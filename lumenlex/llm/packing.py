@@ -276,7 +276,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_size: int = 20_000, node
     is a sequence of its own. Columns that are named like the results are replaced.
     """
     pieces = pieces.drop("sequence_id", "offset", "_uid", "_group")
-    rows = materialize(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
+    rows = materialize(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pieces", small_batches=True)
     groups = max(1, round(rows.count() / group_size))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

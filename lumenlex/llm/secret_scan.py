@@ -117,7 +117,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: s
 
 
 def _judged(found: DataFrame, key: str, live_owners: int, live_repositories: int, tables: Scratch) -> DataFrame:
-    found = tables.table(found.withColumn("uid", F.monotonically_increasing_id()), "found")
+    found = tables.table(found.withColumn("uid", F.monotonically_increasing_id()), "found", small_batches=True)
     unknown = F.concat(F.lit("\0"), F.col("uid").cast("string"))
     spans = tables.table(found.select("uid", F.coalesce("repository", unknown).alias("repository"), F.inline(F.concat("base", "more"))), "spans")
     held = spans.groupBy("hash", "repository").agg(F.count(F.lit(1)).alias("n")).withColumn("owner", F.substring_index("repository", "/", 1))

@@ -93,7 +93,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = N
     tokens = word_bpe.encode(docs, tokenizer, end_id, key, width=width, special_tokens=special_tokens).select(F.col(key).alias("key"), "ids")
     kind = docs.schema[key].dataType.simpleString()
     with Scratch(spark, "token-ids") as tables:
-        _write(spark, tables.table(tokens.withColumn("uid", F.monotonically_increasing_id()), "ids"), path, width, kind, parts)
+        _write(spark, tables.table(tokens.withColumn("uid", F.monotonically_increasing_id()), "ids", small_batches=True), path, width, kind, parts)
     return path
 
 

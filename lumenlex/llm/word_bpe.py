@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 
 from lumenlex.llm.chunks import BLANK, LOWER, ChunkEncoder, slices, split_at_ascii_words, split_at_words_and_stops, to_lists
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Plain words in a string for the library, and words with it at a time.
 JOINED, AT_ONCE = 200, 20_000
 
@@ -53,13 +57,19 @@ class TextEncoder:
         return flat, bounds
 
 
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str, special_tokens: bool = False) -> TextEncoder:
-    """With ``special_tokens``, their strings in a text get their own ids, as the library does unless told otherwise; without, they are ordinary text."""
+@lru_cache(maxsize=1)
+def _library(path: str) -> Tokenizer:
+    """One for all encoders of a worker, which tell it each time what to do with special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def chunk_encoder(path: str, special_tokens: bool = False) -> TextEncoder:
+    """With ``special_tokens``, their strings in a text get their own ids, as the library does unless told otherwise; without, they are ordinary text."""
+    library = _library(path)
     strings = [re.escape(x.content) for x in library.get_added_tokens_decoder().values()] if special_tokens else []
     odd = "|".join([r"[A-Z]\p{M}", *(f"(?i:{x})" for x in strings)])
     # Folding makes special-token strings of others, so only whole words see the library's way with them.
@@ -69,16 +79,14 @@ def chunk_encoder(path: str, special_tokens: bool = False) -> TextEncoder:
 
 def _encoder(path: str, special_tokens: bool) -> Callable[[pa.Array], pa.ListArray]:
     """``encode(distinct chunks) -> lists of ids``."""
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = not special_tokens
+    library = _library(path)
     vocab = library.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     for token, i in vocab.items():
         ends[i] = token.endswith("</w>")
 
     def ids_of(texts: list[str]) -> list[list[int]]:
+        library.encode_special_tokens = not special_tokens
         return [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(chunks: pa.Array) -> pa.ListArray:
@@ -116,9 +124,7 @@ def _encoder(path: str, special_tokens: bool) -> Callable[[pa.Array], pa.ListArr
 
 def id_width(path: str, end_id: int) -> str:
     """The numpy type that holds every id."""
-    from tokenizers import Tokenizer
-
-    return "<u2" if max(end_id, *Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4"
+    return "<u2" if max(end_id, *_library(path).get_vocab().values()) < 1 << 16 else "<u4"
 
 
 def encode_batch(encoder: TextEncoder, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

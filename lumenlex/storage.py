@@ -50,15 +50,23 @@ def delete(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _store(df: DataFrame, path: str) -> DataFrame:
+#: Session setting for the most bytes of a batch of rows that a Python worker gets, and its value where those rows are whole texts:
+#: a batch is in memory outside the JVM's heap, and again in the worker while the next one comes. Spark's own value is 64 MB.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def _store(df: DataFrame, path: str, small_batches: bool = False) -> DataFrame:
     """Writes ``df`` and reads it back; nothing reads the shuffle files behind it again, so they go at once."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"} | ({BATCH: BATCH_BYTES} if small_batches else {})
+    before = {k: conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,9 +86,9 @@ class Scratch:
     def __exit__(self, *error: object) -> None:
         delete(self.spark, self.folder)
 
-    def table(self, df: DataFrame, label: str) -> DataFrame:
+    def table(self, df: DataFrame, label: str, small_batches: bool = False) -> DataFrame:
         path = f"{self.folder}/{label}-{len(self.paths)}"
-        out = _store(df, path)
+        out = _store(df, path, small_batches)
         self.paths.append((out, path))
         return out
 
@@ -91,10 +99,11 @@ class Scratch:
                 delete(self.spark, path)
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", small_batches: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Unlike a cached or locally checkpointed frame, the files outlive any
-    executor, so nothing upstream is ever computed again.
+    executor, so nothing upstream is ever computed again.  ``small_batches`` is
+    for frames that send whole texts to Python workers, see ``BATCH_BYTES``.
     """
-    return _store(df, fresh_path(df.sparkSession, label))
+    return _store(df, fresh_path(df.sparkSession, label), small_batches)

@@ -3,13 +3,19 @@
 import hashlib
 import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
+from lumenlex import storage
 from lumenlex.llm import byte_bpe, packing, token_files, word_bpe
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,3 +155,47 @@ def test_special_tokens_and_capitals_before_marks(spark, tmp_path):
     crc = {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op8_token_files(spark, str(tmp_path)).collect()} == crc
     assert {r.doc_id: (r.length, r.ids_crc32) for r in queries.op10_packing(spark, str(tmp_path)).collect()} == crc
+
+
+def test_pieces_reach_workers_in_small_batches(spark):
+    """Batches of whole texts are of a few MB while pieces are stored; the session's own setting stays."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"length": [batch.nbytes]})
+
+    setting = spark.conf.get(storage.BATCH)
+    docs = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("x"), 16_000).alias("text"))
+    lengths = [r.length for r in packing.pack(docs.mapInArrow(sizes, "length long")).collect()]
+    assert sum(lengths) >= 16_000_000 and max(lengths) <= 5_000_000
+    assert spark.conf.get(storage.BATCH) == setting
+
+
+MEMORY = r"""
+import re, sys
+import numpy as np
+import pyarrow as pa
+from lumenlex.llm import chunks, word_bpe
+
+def text():
+    words = rng.integers(97, 123, (750, 6), np.uint8)
+    words[:, 5] = 32
+    words[::2] = 97
+    return words.tobytes().decode()
+
+def peak():
+    return int(re.search(r"VmHWM:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = np.random.default_rng(5)
+encoder = word_bpe.chunk_encoder(sys.argv[1], True)
+batch = pa.record_batch({"text": [text() for _ in range(8000)]})
+before = peak()
+tokens = sum(len(word_bpe.encode_batch(encoder, part.column("text"), 1)[0]) for part in chunks.slices(batch))
+print(tokens, peak() - before)
+"""
+
+
+def test_memory_of_a_batch():
+    """What a worker adds to a batch of texts does not follow the batch's size: 36 MB here, half of its words mostly distinct."""
+    out = subprocess.run([sys.executable, "-c", MEMORY, WORDS], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 6_000_000 and float(out[1]) < 100
